@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from vectide.llm import exact_dedup, media, mixing, sharding
+from vectide.llm import exact_dedup, media, mixing, packing, rollups, sharding
 
 QUERIES = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
     "op2_mpeg_media": media.op2_mpeg_media,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op7_pack_lengths": packing.op7_pack_lengths,
     "op8_radix_dedup": exact_dedup.op8_radix_dedup,
+    "op9_token_rollups": rollups.op9_token_rollups,
 }
 
 SQL = {
     "op1_extendible_shards": sharding.OP1_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
+    "op7_pack_lengths": packing.OP7_SQL,
     "op8_radix_dedup": exact_dedup.OP8_SQL,
+    "op9_token_rollups": rollups.OP9_SQL,
 }
