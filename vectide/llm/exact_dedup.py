@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:
         groups = rows.groupBy("grp", "n", "chunk").agg(F.count("*").alias("rows")).where("rows > 1")
         groups = stored(groups.select("grp", "n", "chunk", F.monotonically_increasing_id().alias("next")), f"radix-groups-{level}")
-        split = rows.join(groups, ["grp", "n", "chunk"], "left")
+        split = rows.join(groups.hint("merge"), ["grp", "n", "chunk"], "left")  # the same plan at every size
         going = F.col("next").isNotNull() & (F.col("n") > off + width)
         split = split.select("id", "points", "sha", "n", F.col("next").alias("grp"), going.alias("going"), F.when(going, F.col("text")).alias("text"), "row", F.monotonically_increasing_id().alias("uid"))
         split = stored(split, f"radix-rows-{level}")
