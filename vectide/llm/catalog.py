@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vectide.llm import exact_dedup, media, mixing, packing, rollups, sharding
+from vectide.llm import exact_dedup, langid, media, mixing, packing, rollups, sharding
 
 QUERIES = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
     "op2_mpeg_media": media.op2_mpeg_media,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op6_language_id": langid.op6_language_id,
     "op7_pack_lengths": packing.op7_pack_lengths,
     "op8_radix_dedup": exact_dedup.op8_radix_dedup,
     "op9_token_rollups": rollups.op9_token_rollups,
