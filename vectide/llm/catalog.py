@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectide.llm import exact_dedup, langid, media, mixing, packing, rollups, sharding
+from vectide.llm import exact_dedup, langid, lattice, media, mixing, packing, rollups, sharding
 
 QUERIES = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_pack_lengths": packing.op7_pack_lengths,
     "op8_radix_dedup": exact_dedup.op8_radix_dedup,
     "op9_token_rollups": rollups.op9_token_rollups,
+    "op10_lattice_score": lattice.op10_lattice_score,
 }
 
 SQL = {
