@@ -7,6 +7,7 @@ random 64-bit values of its bytes, so the hash of any piece of a text comes from
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -60,6 +61,16 @@ class Words:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[data] * up[: len(data)], dtype=np.uint64)])
         self.hash = mixed((self.sums[self.end] - self.sums[self.start]) * down[self.start])
 
+    def subset(self, docs: np.ndarray) -> Words:
+        """The words of some of the texts, which are numbered anew."""
+        number = np.full(self.n_docs, -1)
+        number[docs] = np.arange(len(docs))
+        out = copy(self)
+        out.doc, out.n_docs = number[self.doc], len(docs)
+        mine = out.doc >= 0
+        out.doc, out.start, out.end, out.hash = out.doc[mine], self.start[mine], self.end[mine], self.hash[mine]
+        return out
+
     def per_doc(self) -> np.ndarray:
         """The number of words of each text."""
         return np.bincount(self.doc, minlength=self.n_docs)
