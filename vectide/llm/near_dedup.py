@@ -97,7 +97,7 @@ def frequencies(sets: DataFrame, column: str) -> np.ndarray:
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], names=["at", "n"])
 
-    got = sets.select(column).mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = sets.select(column).mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros(COUNTERS, dtype=np.int64)
     out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return np.minimum(out, 2**31 - 1).astype(np.int32)
