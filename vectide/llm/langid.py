@@ -227,7 +227,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = sample(docs, id_col, text_col, lang_col, max_docs)
     upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("k"))
     rows = rows.withColumn("upto", upto).where((F.col("upto") <= MAX_CHARS) | (F.col("k") == 1))
-    got = rows.select("lang", "k", "text").toPandas().sort_values(["lang", "k"])
+    got = rows.select("lang", "k", "text").toArrow().to_pandas().sort_values(["lang", "k"])
     languages = sorted(got["lang"].unique())
     if not languages:
         return None
