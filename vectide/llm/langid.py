@@ -257,7 +257,8 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text", kee
     """
     from pyspark.sql.types import StructType
 
-    rows = docs.select(*keep, as_text(text_col).alias("_text"))
+    own = text_col if text_col in keep else "_text"
+    rows = docs.select(*keep) if own == text_col else docs.select(*keep, as_text(text_col).alias("_text"))
     schema = StructType([f for f in rows.schema if f.name != "_text"])
     for name, kind in (x.split() for x in _SCHEMA.split(", ")):
         schema.add(name, kind)
@@ -266,7 +267,7 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text", kee
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = [t or "" for t in batch.column(own).to_pylist()]
             at = 0
             while at < len(texts):
                 size, end = 0, at

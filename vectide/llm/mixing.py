@@ -71,8 +71,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows. Other input columns may have any names.
     """
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("skey"), F.col(source_col).alias("source"), word_count(as_text(text_col)).alias("size"), hash_bits(ident, DIGITS).alias("h"), *([F.struct("*").alias("row")] if carry else []))
-    kept = stored(kept, "mix-rows")
+    every = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("skey"), F.col(source_col).alias("source"), word_count(as_text(text_col)).alias("size"), hash_bits(ident, DIGITS).alias("h"), *([F.struct("*").alias("row")] if carry else []))
+    kept = stored(every.drop("row"), "mix-rows")
     rows = kept.select("skey", "h", "size")
     sizes = stored(kept.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), "mix-sizes")
     plan = source_targets(sizes, **rule)
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = stored(plan, "mix-plan")
     plan = stored(plan.join(thresholds(rows, plan), "skey", "left").select("skey", "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")), "mix-thresholds")
     discard(sizes)
-    out = join_small(kept, plan, "skey", F.col("h"))
+    out = join_small(every if carry else kept, plan, "skey", F.col("h"))
     out = out.withColumn("times", F.when(F.col("source_size") > 0, F.col("whole") + (F.col("h") < F.col("below")).cast("long")).otherwise(0))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *(["row"] if carry else []))
 
