@@ -213,13 +213,16 @@ class Models:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> DataFrame:
-    """doc_hash, lang, text of at most max_docs documents a language, those of the smallest hash, at most MAX_CHARS characters each."""
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("doc_hash"), F.col(lang_col).alias("lang"), as_text(text_col).alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("doc_hash"))
-    limits = rows.select("lang", "doc_hash").withColumn("k", first).where(f"k <= {max_docs}").groupBy("lang").agg(F.max("doc_hash").alias("most"))
-    few = rows.join(F.broadcast(limits), "lang").where("doc_hash <= most")  # one row a language
-    return few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_hash", "text"))).where(f"k <= {max_docs}").drop("most")
+    """lang, text, k of at most max_docs documents a language, at most MAX_CHARS characters each.
+
+    Documents are counted by language and those whose hash is in a share of its range are taken, a quarter more than
+    needed on average; of these the first by hash remain, so that no task numbers more than a sample.
+    """
+    rows = docs.select((F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)).alias("at"), F.col(lang_col).alias("lang"), as_text(text_col).alias("text"))
+    rows = rows.where(F.col("lang").isNotNull())
+    share = rows.groupBy("lang").agg((F.lit(1.25 * max_docs) / F.count("*")).alias("share"))
+    few = rows.join(F.broadcast(share), "lang").where((F.col("at") <= F.col("share")) & (F.length("text") <= MAX_CHARS))  # one row a language
+    return few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(f"k <= {max_docs}").select("lang", "text", "k")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Models | None:
