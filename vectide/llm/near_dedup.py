@@ -183,21 +183,29 @@ def lists(index: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _fit(whole: bool):
+    """Whether rows a, b of one list can be linked by their sizes and, if places count in whole sets, by what comes from the list's value on: the first common value of a linked pair leaves both enough."""
+    sizes = PARTS * F.least("na", "nb") >= LIMIT * F.greatest("na", "nb")
+    if not whole:
+        return sizes
+    need = F.ceil(LIMIT * (F.col("na") + F.col("nb")) / (PARTS + LIMIT))
+    return sizes & (F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need)
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("key", "band", F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"p{name}"))
+
+
 def _pair(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of members of one list whose sizes allow a link."""
-    x = x.select("key", "band", F.col("id").alias("a"), F.col("n").alias("na"))
-    y = y.select("key", "band", F.col("id").alias("b"), F.col("n").alias("nb"))
-    fit = (F.col("a") != F.col("b")) & (PARTS * F.least("na", "nb") >= LIMIT * F.greatest("na", "nb"))
-    both = x.join(y, ["key", "band"]).where(fit)
+    """Distinct pairs a < b of members of one list of whole sets that may be linked."""
+    both = _side(x, "a").join(_side(y, "b"), ["key", "band"]).where((F.col("a") != F.col("b")) & _fit(True))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def listed_pairs(listed: DataFrame) -> DataFrame:
+def listed_pairs(listed: DataFrame, whole: bool) -> DataFrame:
+    """Distinct pairs a < b of members of short lists that may be linked."""
     short = listed.where(F.col("size") <= LIST)
-    x = short.select("key", "band", F.col("id").alias("a"), F.col("n").alias("na"))
-    y = short.select("key", "band", F.col("id").alias("b"), F.col("n").alias("nb"))
-    fit = (F.col("a") < F.col("b")) & (PARTS * F.least("na", "nb") >= LIMIT * F.greatest("na", "nb"))
-    return x.join(y, ["key", "band"]).where(fit).select("a", "b").distinct()
+    return _side(short, "a").join(_side(short, "b"), ["key", "band"]).where((F.col("a") < F.col("b")) & _fit(whole)).select("a", "b").distinct()
 
 
 def star_pairs(listed: DataFrame) -> DataFrame:
@@ -330,14 +338,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
 
     listed = lists(sketch_index(classes, frequencies(classes, "sketch"), k, shared), "near-sketch")
-    found = stored(estimated(listed_pairs(listed), classes, k, shared), "near-pairs")
+    found = stored(estimated(listed_pairs(listed, False), classes, k, shared), "near-pairs")
     crowded = stored(listed.where(F.col("size") > LIST).select("id").distinct(), "near-crowded")
     needed = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).unionByName(crowded).distinct()
     sets = stored(full_sets(docs, classes.join(needed, "id"), id_col, text_col, width), "near-sets")
 
     own = sets.join(crowded, "id", "left_semi")
     longer = lists(set_index(own, frequencies(own, "shingles")), "near-set")
-    more = stored(estimated(listed_pairs(longer).unionByName(star_pairs(longer)).distinct(), classes, k, shared), "near-more")
+    more = stored(estimated(listed_pairs(longer, True).unionByName(star_pairs(longer)).distinct(), classes, k, shared), "near-more")
     pairs = found.unionByName(more).distinct()
 
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
