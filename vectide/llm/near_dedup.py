@@ -239,12 +239,12 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, shared: int) -> Data
                 rank = np.cumsum(firsts)[:-1][twice]
                 size = int(firsts.sum())
                 same = int((rank <= k).sum())
-                # sets of at most k shingles are whole, so the share is exact but for equal leading bits
-                share[j] = same / min(k, size)
-                if len(s) >= k or len(t) >= k:
-                    share[j] = share[j] if same >= shared * min(k, size) / k else -1
-                elif PARTS * (same + 1) < LIMIT * size:
-                    share[j] = -1
+                if len(s) < k and len(t) < k:
+                    # both are whole sets, so this is exact but for equal leading bits
+                    same = int(twice.sum())
+                    share[j] = same / max(1, size) if PARTS * (same + 1) >= LIMIT * size else -1
+                else:
+                    share[j] = same / min(k, size) if same >= shared * min(k, size) / k else -1
             keep = pa.array(share >= 0)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"])
             yield out.filter(keep)
