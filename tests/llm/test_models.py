@@ -1,0 +1,430 @@
+"""Near-duplicates, personal data, language ID, lattice scores and the pipeline, against brute force."""
+
+import math
+import random
+import re
+
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from corpus_rows import table_of, words
+from pyspark.sql import functions as F
+
+from vectide.llm import langid, lattice, near_dedup, pii
+from vectide.llm.words import HashTable, Words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SF = "/root/testdata/sf0.001"
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def shingles(text, width):
+    w = WORD.findall(text.translate(LOW))
+    return frozenset(zip(*[w[k:] for k in range(width)], strict=False)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, width):
+    """component by document, for rows with different ids."""
+    sets, top = {i: shingles(t, width) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def copies(rng, n_groups, sizes, length=60):
+    """Groups of near copies, some in chains, and documents that share a passage."""
+    rows, passage = [], words(rng, 25, 10_000)
+    for _ in range(n_groups):
+        base = words(rng, rng.randrange(3, length), 10_000).split()
+        for _ in range(rng.choice(sizes)):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + len(own) // 12)):
+                own[rng.randrange(len(own))] = f"u{rng.randrange(10**6)}"
+            rows.append(" ".join(own))
+            if rng.random() < 0.3:
+                base = own
+    rows += [f"{passage} {words(rng, rng.randrange(5, 60), 10_000)}" for _ in range(60)]
+    rng.shuffle(rows)
+    return [(k, t, None, None) for k, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("width, longest", [(2, 32), (5, 32), (2, 3), (5, 3)])
+def test_near_copies_against_brute_force(spark, monkeypatch, width, longest):
+    """With short lists allowed only, most pairs come from the index of whole sets."""
+    monkeypatch.setattr(near_dedup, "LIST", longest)
+    monkeypatch.setattr(near_dedup, "HEADS", 2)
+    rows = copies(random.Random(width), 25, [1, 2, 3, 12])
+    got = near_dedup.near_duplicates(table_of(spark, rows), width=width).collect()
+    want = brute_components([r[:2] for r in rows], width)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_copies_of_odd_rows(odd, none):
+    rows = rows_of(odd)
+    got = near_dedup.near_duplicates(odd, width=2).collect()
+    assert len(got) == len(rows)
+    want = brute_components([(i, t) for i, t in rows if i is not None], 2)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["kept"] and r["component_id"] is None
+        else:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+    assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_prefixes_never_miss_a_link():
+    """For every pair of sizes that can be linked, both sides index enough shingles in the smaller one's band."""
+    for n in range(1, 200):
+        own = dict(near_dedup._bands(n))
+        for m in range(-(-80 * n // 100), n + 1):
+            band = int(math.log(m) / math.log(near_dedup.BAND))
+            need = near_dedup.least_overlap(n, m)
+            assert own[band] >= n - need + 1 and dict(near_dedup._bands(m))[band] >= m - need + 1
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    got = {r["id"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    loops = {a for a, b in edges if a == b} - {x for e in edges if e[0] != e[1] for x in e}
+    assert got == {x: find(x) for x in list(top) if x not in loops}
+
+
+# personal data
+
+MENTIONS = {
+    "email": "Mail jane.doe@Example.org now",
+    "secret": 'token = "4c14c50dfeb4472631354f0438942dc4488be3bc" end',
+    "mac": "at 00:1B:44:11:3A:B7 there",
+    "ip": "from 187.50.237.187.",
+    "iban": "to DE89 3704 0044 0532 0130 00 soon",
+    "ssn": "no 123-45-6789 here",
+    "card": "pay 4111 1111 1111 1111 today",
+    "phone": "call +1 (275) 555-5927 please",
+    "person": "saw Mrs. Anna Smith there",
+}
+
+
+@pytest.mark.parametrize("kind", MENTIONS)
+def test_each_type_keeps_its_format(kind):
+    text = MENTIONS[kind]
+    found = list(pii.entities(text))
+    assert {k for *_, k, _ in found} == {kind}
+    new, kinds = pii.replaced(text, b"k", {})
+    assert set(kinds) == {kind} and new == pii.replaced(text, b"k", {})[0] != pii.replaced(text, b"other", {})[0]
+    assert all(text[a:b] not in new for a, b, *_ in found)
+    if kind not in ("email", "person"):
+        shape = lambda t: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d+" if kind == "ip" else r"\d", "9", t)))
+        assert shape(re.sub("[a-fA-F]", "0", new) if kind in ("secret", "mac") else new) == shape(re.sub("[a-fA-F]", "0", text) if kind in ("secret", "mac") else text)
+    assert {k for *_, k, _ in pii.entities(new)} == {kind}
+
+
+def test_types_are_consistent():
+    good = pii.surrogate(b"k", "card", "4111111111111111")
+    bad = pii.surrogate(b"k", "card", "4111111111111112")
+    assert pii.luhn(good) == 0 != pii.luhn(bad) and len(good) == len(bad) == 16
+    f, m = (pii.surrogate(b"k", "person", f"LATIN:{g}:kim") for g in "fm")
+    assert f.endswith("a") and m.endswith("en")
+    new, _ = pii.replaced("Г-жа Анна Иванова, Mr. JOHN SMITH and Dr. Smith", b"k", {})
+    assert pii.script(new.split()[1]) == "CYRILLIC" and new.split("Mr. ")[1].split(" and")[0].isupper()
+    assert new.split("SMITH")[0] and new.rsplit(" ", 1)[1].lower() == new.split(" and ")[0].rsplit(" ", 1)[1].lower()
+
+
+@pytest.mark.parametrize("text", ["", "no data here", "in 2024 the 12 of 1000", "a@b", "Mr of nothing", "version 1.2.3.4.5 of 3.14", "The end. Dr"])
+def test_clean_texts_stay(text):
+    assert pii.replaced(text, b"k", {}) == (text, [])
+
+
+def test_collisions_are_drawn_again(spark):
+    """A real address that is another's surrogate, and a card that is another card's."""
+    fake = pii.surrogate(pii.KEY, "ip", "10.1.2.3")
+    rows = [(1, "from 10.1.2.3 to", None, None), (2, f"at {fake} now", None, None), (3, "again 10.1.2.3 and 10.1.2.4", None, None), (4, None, None, None)]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(table_of(spark, rows)).collect()}
+    ip = re.compile(r"\d+\.\d+\.\d+\.\d+")
+    a, b, (c, d) = ip.findall(got[1])[0], ip.findall(got[2])[0], ip.findall(got[3])
+    assert a == c and len({a, b, d}) == 3 and not {a, b, d} & {"10.1.2.3", "10.1.2.4", fake} and got[4] == ""
+
+
+def test_collisions_beyond_one_broadcast(spark, monkeypatch):
+    rows = [(k, f"from 10.0.0.{k} at {pii.surrogate(pii.KEY, 'ip', f'10.0.0.{k}')} end", None, None) for k in range(20)]
+    want = sorted((r["doc_id"], r["text"]) for r in pii.pseudonymise(table_of(spark, rows)).collect())
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 3)
+    assert sorted((r["doc_id"], r["text"]) for r in pii.pseudonymise(table_of(spark, rows)).collect()) == want
+
+
+def test_surrogates_of_odd_rows(odd, none):
+    got = pii.pseudonymise(odd).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows_of(odd))
+    assert pii.pseudonymise(none).count() == 0
+
+
+# language ID
+
+
+def brute_kneser_ney(texts, order):
+    """Interpolated Kneser-Ney by dictionaries: a function of context and character."""
+    norm = [" " * (order - 1) + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + (" " if t and not t[-1].isalpha() else " ") for t in texts]
+    counts = [defaultdict(set) for _ in range(order + 1)]
+    raw = Counter()
+    for t in norm:
+        for k in range(order - 1, len(t)):
+            raw[t[k - order + 1 : k + 1]] += 1
+    level = {order: raw}
+    for n in range(order - 1, 0, -1):
+        level[n] = Counter(g[1:] for g in level[n + 1])
+    del counts
+    disc = {n: (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())) for n, c in level.items()}
+    total, kinds = {n: Counter() for n in level}, {n: Counter() for n in level}
+    for n, c in level.items():
+        for g, v in c.items():
+            total[n][g[:-1]] += v
+            kinds[n][g[:-1]] += 1
+    symbols = len(level[1]) + 1
+
+    def p(gram):
+        n = len(gram)
+        low = p(gram[1:]) if n > 1 else 1 / symbols
+        h = gram[:-1]
+        return low if not total[n][h] else (max(level[n][gram] - disc[n], 0) / total[n][h] if level[n][gram] else 0) + disc[n] * kinds[n][h] / total[n][h] * low
+
+    return p, norm
+
+
+def test_models_are_kneser_ney():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcde  ") for _ in range(rng.randrange(5, 60))).strip() + "a." for _ in range(30)]
+    p, norm = brute_kneser_ney(texts, langid.ORDER)
+    model = langid.Models(["x"], [langid.fit(texts)])
+    h, n = model.entropies(texts)
+    for j, t in enumerate(norm):
+        body = t[langid.ORDER - 1 :]
+        want = -sum(math.log(p(t[k : k + langid.ORDER])) for k in range(len(body))) / len(body)
+        assert n[j] == len(body) and h[j, 0] == pytest.approx(want, rel=1e-5)
+    assert sum(p("abca" + c) for c in "abcde ") + p("abcaz") == pytest.approx(1)
+
+
+def test_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    part = langid.held_out_part("doc_id", 5)
+    models = langid.train(docs.where(part != 0))
+    got = langid.identify(docs.where(part == 0).select("doc_id", "text", "lang"), models, keep=("doc_id", "lang")).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) >= 0.97
+    assert all(0 <= r["score"] <= 1 for r in got) and np.mean([r["accepted"] for r in got]) >= 0.99
+    strange = spark.createDataFrame([(1, "zqxj kvwq jjqz xxkq " * 20), (2, "12 34 ?!"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(strange, models, keep=("doc_id",)).collect()}
+    assert not any(r["accepted"] for r in got.values()) and [got[k]["lang_pred"] for k in (2, 3, 4)] == ["und"] * 3 and got[1]["lang_pred"] in models.languages
+
+
+def test_languages_of_odd_rows(odd, none):
+    models = langid.train(odd)
+    assert models.languages == ["aa", "bb"]
+    got = langid.identify(odd, models, keep=tuple(odd.columns))
+    assert got.columns[: len(odd.columns)] == odd.columns and got.count() == odd.count()
+    assert langid.train(none) is None
+    assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
+    assert langid.identify(none, models).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    rows = table_of(spark, [(k, "abc def", "aa" if k % 3 else "bb", None) for k in range(3000)])
+    got = Counter(r["lang"] for r in langid.sample(rows, "doc_id", "text", "lang", 50).collect())
+    assert set(got) == {"aa", "bb"} and all(25 <= n <= 50 for n in got.values())
+
+
+# lattice scores
+
+
+def spellings(word, logp):
+    if not word:
+        return [0.0]
+    return [logp[word[:k]] + rest for k in range(1, len(word) + 1) if word[:k] in logp for rest in spellings(word[k:], logp)]
+
+
+def small_lattice():
+    pieces = [b" a", b" ab", b"b", b"bc", b"c", b"abc", b"a", b" "] + [bytes([b]) for b in range(256) if bytes([b]) not in (b"a", b"b", b"c", b" ")]
+    out = lattice.Lattice(pieces)
+    out.set_weights(np.random.default_rng(1).uniform(0.5, 3, len(pieces)), 20.0)
+    logp = {}
+    h = lattice.piece_hash(pieces)
+    for p, at in zip(pieces, out.table.find(h), strict=True):
+        logp[p] = out.logp[at]
+    return out, logp
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_word_scores_sum_all_spellings(monkeypatch, few):
+    monkeypatch.setattr(lattice, "FEW", few)
+    out, logp = small_lattice()
+    texts = [b"a ab abc bcab aabbcc", "é x".encode(), b"abcabcabcabc"]
+    w = Words(texts)
+    got = out.word_scores(w.data, w.start, w.end - w.start)
+    for s, e, x in zip(w.start, w.end, got, strict=True):
+        alls = spellings(b" " + w.data[s:e].tobytes(), logp)
+        assert x == pytest.approx(np.logaddexp.reduce(alls) + out.end)
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_expected_counts_by_enumeration(monkeypatch, few):
+    monkeypatch.setattr(lattice, "FEW", few)
+    out, logp = small_lattice()
+    w = Words([b"abc ab bcb"])
+    count = np.array([3, 1, 2])
+    got = out.expected(w.data, w.start, w.end - w.start, count)
+    want = Counter()
+
+    def walk(word, used, total):
+        if not word:
+            yield used, total
+        for k in range(1, len(word) + 1):
+            if word[:k] in logp:
+                yield from walk(word[k:], [*used, word[:k]], total + logp[word[:k]])
+
+    for (s, e), n in zip(zip(w.start, w.end, strict=True), count, strict=True):
+        paths = list(walk(b" " + w.data[s:e].tobytes(), [], 0.0))
+        z = np.logaddexp.reduce([x for _, x in paths])
+        for used, x in paths:
+            for p in used:
+                want[p] += n * math.exp(x - z)
+    at = {p: int(out.table.find(lattice.piece_hash([p]))[0]) for p in want}
+    assert {p: got[k] for p, k in at.items()} == pytest.approx(dict(want)) and got.sum() == pytest.approx(sum(want.values()))
+
+
+def test_words_add_up_to_one():
+    """Spellings of words over the pieces' own letters: the shares of all words up to a length grow to the whole."""
+    pieces = [b" a", b" b", b"a", b"b", b"ab"]
+    out = lattice.Lattice(pieces)
+    weights = np.zeros(5)
+    weights[out.table.find(lattice.piece_hash(pieces))] = [2, 1, 1, 1, 1]
+    out.set_weights(weights, 9.0)
+    total = 0.0
+    for n in range(1, 9):
+        alls = [bytes("".join("ab"[k >> j & 1] for j in range(n)), "ascii") for k in range(2**n)]
+        w = Words([b" ".join(alls)])
+        total += np.exp(out.word_scores(w.data, w.start, w.end - w.start)).sum()
+    assert 0.99 < total <= 1 + 1e-9
+
+
+def brute_base(rows, training):
+    count = Counter()
+    for _, t in training:
+        count.update([*WORD.findall(t.translate(LOW)), None])
+    total, kinds = sum(count.values()), len(count)
+    for i, t in rows:
+        own = [*WORD.findall(t.translate(LOW)), None]
+        yield i, len(own), sum(count[x] > 0 for x in own), total, round(sum(math.log10((count[x] + 0.1) / (total + 0.1 * (kinds + 1))) for x in own), 4)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 40, 0])
+def test_base_scores(odd, monkeypatch, head):
+    monkeypatch.setattr(lattice, "HEAD", head)
+    monkeypatch.setattr(lattice.head_words, "__defaults__", (head,))
+    train = odd.where("doc_id % 7 <> 0")
+    got = lattice.score(odd, train).collect()
+    want = Counter(brute_base(rows_of(odd), rows_of(train)))
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+
+
+def test_scores_do_not_depend_on_the_head(odd, monkeypatch):
+    scores = []
+    for head in (1 << 18, 0):
+        monkeypatch.setattr(lattice.head_words, "__defaults__", (head,))
+        one = odd.where("lang is null or lang = 'aa'").withColumn("lang", F.lit("aa"))  # one class, so that it isn't inferred
+        scores.append(sorted(round(r["score"], 3) for r in lattice.score(one, one).collect()))
+    assert scores[0] == pytest.approx(scores[1], rel=1e-4)
+
+
+def test_scores_without_training(odd, none):
+    got = lattice.score(odd, none).collect()
+    assert len(got) == odd.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
+    assert lattice.score(none, odd).count() == 0
+
+
+def test_held_out_texts_are_likelier_than_by_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    part = langid.held_out_part("doc_id", 10)
+    got = lattice.score(docs.where(part == 0), docs.where(part != 0)).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_hash_table():
+    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
+    t = HashTable(h)
+    assert (t.find(h) == np.arange(len(h))).all() and (t.find(h + np.uint64(1)) == -1).all()
+
+
+# the pipeline
+
+
+def brute_pipeline(rows, accepted):
+    """The stages after language ID by brute force; rows (id, text, source)."""
+    kept = [r for r in rows if r[0] in accepted]
+    best = {}
+    for i, t, s in kept:
+        norm = re.sub(r"[\x20\x09-\x0D]", "", t)
+        best[norm] = min(best.get(norm, (1, 0)), (-len(t), i))
+    stay = {i for _, i in best.values()}
+    kept = [r for r in kept if r[0] in stay]
+    top = brute_components([r[:2] for r in kept], 5)
+    return [r for r in kept if top[r[0]][1] == r[0]]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as cp
+
+    from vectide.llm.mixing import mix
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "", r["source"]) for r in docs.collect()]
+    first = cp.STAGES[0][1](spark, docs, SF)
+    accepted = {r["doc_id"] for r in first.collect()}
+    assert len(accepted) >= 0.98 * len(rows)
+    kept = brute_pipeline(rows, accepted)
+    times = {r["doc_id"]: r["times"] for r in mix(docs.where(F.col("doc_id").isin([r[0] for r in kept]))).collect()}
+    got = Counter(r["doc_id"] for r in cp.run(spark, SF).where("part = 0").collect())
+    assert got == Counter({i: n for i, n in times.items() if n})
+
+
+def test_stages_of_odd_rows(spark, odd, none):
+    import corpus_pipeline as cp
+
+    for docs in (odd, none):
+        rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        for name, stage in cp.STAGES[1:]:
+            rows = stage(spark, rows, SF)
+            if name != "packing":
+                assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+                rows = spark.createDataFrame(rows.collect(), rows.schema)
+        assert (rows.count() > 0) == (docs is odd)
+
+
+def test_names_of_queries():
+    from vectide.llm import catalog
+
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES}) == list(range(1, 11))

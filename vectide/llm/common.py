@@ -48,6 +48,13 @@ def as_text(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def spare(name: str, taken) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """The number of words, runs of anything but blank and tab to carriage return."""
     return F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import as_text, table
+from vectide.llm.common import as_text, spare, table
 from vectide.llm.words import HashTable
 
 ORDER = 5
@@ -260,9 +260,9 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text", kee
     """
     from pyspark.sql.types import StructType
 
-    own = text_col if text_col in keep else "_text"
-    rows = docs.select(*keep) if own == text_col else docs.select(*keep, as_text(text_col).alias("_text"))
-    schema = StructType([f for f in rows.schema if f.name != "_text"])
+    own = text_col if text_col in keep else spare("_text", keep)
+    rows = docs.select(*keep) if own == text_col else docs.select(*keep, as_text(text_col).alias(own))
+    schema = StructType(docs.select(*keep).schema.fields[:])
     for name, kind in (x.split() for x in _SCHEMA.split(", ")):
         schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(models)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vectide.llm.common import BROADCAST_ROWS, as_text, discard, stored, table
+from vectide.llm.common import BROADCAST_ROWS, as_text, discard, spare, stored, table
 
 #: The default key; a deployment passes its own.
 KEY = b"vectide surrogates"
@@ -300,32 +300,32 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", keep
     found = distinct_entities(docs, key, text_col)
     tries = collisions(found, key)
     discard(found)
-    rows = docs.select(*keep, as_text(text_col).alias("_text"))
-    schema = StructType([f for f in rows.schema if f.name != "_text"]).add("text", "string").add("n_entities", "integer")
+    own_text, own_tries, uid = (spare(x, keep) for x in ("_text", "_tries", "_uid"))
+    rows = docs.select(*keep, as_text(text_col).alias(own_text))
+    schema = StructType(docs.select(*keep).schema.fields[:]).add("text", "string").add("n_entities", "integer")
     schema = StructType.fromDDL(schema.toDDL() + ", kinds array<string>")
     if tries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         listed = {(r[0], r[1]): r[2] for r in tries.collect()}
         shared = docs.sparkSession.sparkContext.broadcast(listed)
-        rows = rows.withColumn("_tries", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn(own_tries, F.lit(None).cast("map<string,int>"))
     else:
         # too many for one broadcast: each row with an entity gets its own few by a join
         shared = docs.sparkSession.sparkContext.broadcast({})
-        uid = F.monotonically_increasing_id()
-        rows = stored(rows.withColumn("_uid", uid), "pii-rows")
+        rows = stored(rows.withColumn(uid, F.monotonically_increasing_id()), "pii-rows")
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = list({(u, kind, canon) for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, kind, canon in entities(t)})
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())], names=["_uid", "kind", "canon"])
 
-        own = rows.select("_uid", "_text").mapInArrow(keys, "_uid long, kind string, canon string").join(tries, ["kind", "canon"])
-        own = own.groupBy("_uid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "canon").alias("k"), "tries"))).alias("_tries"))
-        rows = rows.join(own, "_uid", "left").select(*keep, "_text", "_tries")
+        own = rows.select(F.col(uid).alias("_uid"), own_text).mapInArrow(keys, "_uid long, kind string, canon string").join(tries, ["kind", "canon"])
+        own = own.groupBy(F.col("_uid").alias(uid)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "canon").alias("k"), "tries"))).alias(own_tries))
+        rows = rows.join(own, uid, "left").select(*keep, own_text, own_tries)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for t, own in zip(batch.column("_text").to_pylist(), batch.column("_tries").to_pylist(), strict=True):
+            for t, own in zip(batch.column(own_text).to_pylist(), batch.column(own_tries).to_pylist(), strict=True):
                 listed = {tuple(k.split("\0", 1)): n for k, n in own} if own else shared.value
                 got.append(replaced(t, key, listed))
             columns = [batch.column(c) for c in keep]
