@@ -59,8 +59,10 @@ def vec_plus(a: Column | str, b: Column | str) -> Column:
 
 def vec_normalize(a: Column | str) -> Column:
     """The vector at length 1; one of length 0 stays as it is."""
-    n = norm(a)
-    return F.transform(_col(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    a = _col(a)
+    # an array of the norm alone binds it, so that it isn't summed anew for each element
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+    return F.when(a.isNotNull(), scaled[0])
 
 
 def centroid(vectors: Column | str) -> Column:
@@ -73,8 +75,8 @@ def centroid(vectors: Column | str) -> Column:
 
 def grouped_centroid(rows: DataFrame, keys: list[str], vector: str, dims: int, out: str = "vector") -> DataFrame:
     """The mean vector of each group, as one average for each dimension: combined before the shuffle, no vectors gathered."""
-    means = rows.groupBy(*keys).agg(*[F.avg(F.col(vector)[k].cast("double")).alias(f"_{k}") for k in range(dims)])
-    return means.select(*keys, F.array(*[F.col(f"_{k}") for k in range(dims)]).alias(out))
+    sums = rows.where(F.col(vector).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(F.col(vector)[k].cast("double")).alias(f"_{k}") for k in range(dims)])
+    return sums.select(*keys, F.array(*[F.col(f"_{k}") / F.col("_n") for k in range(dims)]).alias(out))
 
 
 def dimensions(vectors: DataFrame, column: str = "vector") -> int:
@@ -103,7 +105,7 @@ SQL_FUNCTIONS = {
     "cosine_similarity_norm": (f"a {_D}, b {_D}", "DOUBLE", _DOT),
     "vec_minus": (f"a {_D}, b {_D}", _D, "zip_with(a, b, (x, y) -> x - y)"),
     "vec_plus": (f"a {_D}, b {_D}", _D, "zip_with(a, b, (x, y) -> x + y)"),
-    "vec_normalize": (f"a {_D}", _D, f"transform(a, x -> CASE WHEN {_SQUARES.format('a')} > 0 THEN x / sqrt({_SQUARES.format('a')}) ELSE x END)"),
+    "vec_normalize": (f"a {_D}", _D, f"transform(array({_SQUARES.format('a')}), n -> transform(a, x -> CASE WHEN n > 0 THEN x / sqrt(n) ELSE x END))[0]"),
     "centroid": (f"vs ARRAY<{_D}>", _D, "transform(aggregate(vs, transform(vs[0], x -> 0D), (s, v) -> zip_with(s, v, (x, y) -> x + y)), x -> x / size(vs))"),
 }
 
