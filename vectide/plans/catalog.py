@@ -6,6 +6,8 @@ divisible by 50, the target set those of label 0 to 4. Codebooks are seeded, so
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from vectide.functions import codecs, settings, vectors as vf
 from vectide.operators import analogy, codebooks, evaluation, grouping, insertion, ivfadc, ivpq, knn, pq, tokens
 from vectide.plans import oracles
 from vectide.plans.frontend import Model
+from vectide.sources import vectors as source
 
 DIMS, M, K, K_MULTI = 64, 8, 16, 8
 N, PVF, W, ALPHA, CONFIDENCE = 5, 4, 3, 3, 0.8
@@ -33,6 +36,19 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
     return Model(spark, base, original, coarse, DIMS, M, K, K_MULTI)
 
 
+_saved: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Model:
+    """The model with its indexes written once a session, as searches find them."""
+    m, key = model(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _saved:
+        path = f"{source.shared_folder(spark)}/vectide-index-{uuid.uuid4().hex}"
+        m.save(path)
+        _saved[key] = path
+    return m.load(_saved[key])
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("label < 5").select(F.col("vec_id").alias("id"), F.concat(F.lit("w"), "vec_id").alias("word"))
 
@@ -175,25 +191,25 @@ def analogy_scores(spark, sf):
 
 
 def analogy_3cosadd_pq(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     query = analogy.offset(m.vectors, *WORDS, unit=True)
     return analogy.analogy_from(m.vectors, m.pairs("pq", query, PVF + 3), *WORDS)
 
 
 def analogy_3cosadd_in_pq(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     query = analogy.offset(m.vectors, *WORDS, unit=True)
     return analogy.analogy_from(m.vectors, m.pairs("pq", query, PVF + 3, targets(spark, sf).select("id")), *WORDS)
 
 
 def analogy_3cosadd_ivfadc(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     query = analogy.offset(m.vectors, *WORDS, unit=True)
     return analogy.analogy_from(m.vectors, m.pairs("ivfadc", query, PVF + 3), *WORDS)
 
 
 def analogy_3cosadd_in_ivpq(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     query = analogy.offset(m.vectors, *WORDS, unit=True)
     return analogy.analogy_from(m.vectors, m.pairs("ivpq", query, 4, targets(spark, sf).select("id")), *WORDS)
 
@@ -207,7 +223,7 @@ def groups_exact(spark, sf):
 
 
 def groups_pq(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     return m.groups(m.vectors.select("word"), spark.createDataFrame([(f"w{k}",) for k in range(10)], "word string"), "pq")
 
 
@@ -217,13 +233,13 @@ def cluster_seeded(spark, sf):
 
 
 def cluster_pq(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     return m.cluster(m.vectors.select("id"), 4, "pq", [0, 1, 2, 3], rounds=2)
 
 
 def cluster_ivpq(spark, sf):
     """With every cell visited, so that all tokens are assigned."""
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     return m.cluster(m.vectors.select("id"), 4, "ivpq", [0, 1, 2, 3], rounds=2)
 
 
@@ -259,30 +275,30 @@ def pq_counts(spark, sf):
 
 
 def pq_search(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     return pq.pq_search(m.codes, m.codebook, m.one("w1"), N, *SIZE)
 
 
 def pq_search_in(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     return pq.pq_search(m.codes, m.codebook, m.one("w1"), N, *SIZE, targets(spark, sf).select("id"))
 
 
 def knn_pq(spark, sf):
-    return model(spark, sf).knn("w1", N, "pq")
+    return indexed(spark, sf).knn("w1", N, "pq")
 
 
 def knn_in_pq(spark, sf):
-    return model(spark, sf).knn_in("w1", N, targets(spark, sf).select("word"), "pq")
+    return indexed(spark, sf).knn_in("w1", N, targets(spark, sf).select("word"), "pq")
 
 
 def pq_batch(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     return m.knn_join(query_words(m), N, targets(spark, sf).select("word"), "pq")
 
 
 def pq_verified(spark, sf):
-    return model(spark, sf).knn("w1", N, "pq_verified", PVF)
+    return indexed(spark, sf).knn("w1", N, "pq_verified", PVF)
 
 
 # inverted lists
@@ -293,32 +309,32 @@ def ivfadc_encode(spark, sf):
 
 
 def ivfadc_search(spark, sf):
-    return model(spark, sf).knn("w1", N, "ivfadc")
+    return indexed(spark, sf).knn("w1", N, "ivfadc")
 
 
 def ivfadc_batch(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     return m.knn_batch(query_words(m), N, "ivfadc")
 
 
 def ivfadc_verified(spark, sf):
-    return model(spark, sf).knn("w1", N, "ivfadc_verified", PVF)
+    return indexed(spark, sf).knn("w1", N, "ivfadc_verified", PVF)
 
 
 # the multi-index
 
 
 def ivpq_cells(spark, sf):
-    return ivpq.cell_counts(model(spark, sf).multi_codes, K_MULTI**2)
+    return ivpq.cell_counts(indexed(spark, sf).multi_codes, K_MULTI**2)
 
 
 def create_statistics(spark, sf):
-    return ivpq.create_statistics(targets(spark, sf).select("word"), model(spark, sf).multi_codes, K_MULTI**2)
+    return ivpq.create_statistics(targets(spark, sf).select("word"), indexed(spark, sf).multi_codes, K_MULTI**2)
 
 
 def _ivpq(method):
     def run(spark, sf):
-        m = model(spark, sf)
+        m = indexed(spark, sf)
         known = m.words(query_words(m))
         near = ivpq.ivpq_join(m.vectors, m.multi_codes, m.multi, m.codebook, m.statistics(), known, targets(spark, sf).select("id"), N, M, K, K_MULTI, DIMS, ALPHA, PVF, method, CONFIDENCE)
         return near.join(known.select("qid", "query"), "qid").select("query", F.col("word").alias("target"), "similarity")
@@ -328,13 +344,13 @@ def _ivpq(method):
 
 def ivpq_chosen_cells(spark, sf):
     """The cells of each query without a target list."""
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     among = knn.within(m.multi_codes, targets(spark, sf).select("id"))
     return ivpq.chosen_cells(m.words(query_words(m)), m.multi, m.statistics(), among.select("id", "coarse_id"), N, K_MULTI, DIMS, ALPHA, CONFIDENCE, False)
 
 
 def knn_in_ivpq(spark, sf):
-    return model(spark, sf).knn_in("w1", N, targets(spark, sf).select("word"), "ivpq")
+    return indexed(spark, sf).knn_in("w1", N, targets(spark, sf).select("word"), "ivpq")
 
 
 # insertion, evaluation, training, settings
@@ -362,7 +378,7 @@ def insert_batch_codebook(spark, sf):
 
 
 def precision_at_k(spark, sf):
-    m = model(spark, sf)
+    m = indexed(spark, sf)
     known = m.words(query_words(m))
     return evaluation.precision_at_k(m.pairs("pq", known, N), m.pairs("exact", known, N), N)
 
@@ -379,7 +395,7 @@ def settings_front(spark, sf):
     before = settings.get(spark, "knn")
     settings.put(spark, "knn", "ivfadc")
     try:
-        return model(spark, sf).knn("w1", N)
+        return indexed(spark, sf).knn("w1", N)
     finally:
         settings.put(spark, "knn", before)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from vectide.functions import settings
 from vectide.operators import analogy as analogies
 from vectide.operators import codebooks, grouping, ivfadc, ivpq, knn, pq
 from vectide.operators.insertion import Indexes
+from vectide.sources import vectors as source
 
 
 @dataclass
@@ -55,6 +56,21 @@ class Model:
     def multi_codes(self) -> DataFrame:
         return ivpq.build(self.vectors, self.multi, self.codebook, self.k_multi)
 
+    def save(self, path: str) -> Model:
+        """Write codebooks and indexes below a path, inverted lists by cell, and return the model that reads them."""
+        for name in ("codebook", "residual_codebook", "multi", "coarse", "codes"):
+            source.save_table(getattr(self, name), f"{path}/{name}")
+        for name in ("residual_codes", "multi_codes"):
+            source.save_index(getattr(self, name), f"{path}/{name}")
+        return self.load(path)
+
+    def load(self, path: str) -> Model:
+        """The model with the tables that save has written."""
+        out = replace(self, coarse=source.load(self.spark, f"{path}/coarse"))
+        for name in ("codebook", "residual_codebook", "multi", "codes", "residual_codes", "multi_codes"):
+            out.__dict__[name] = source.load(self.spark, f"{path}/{name}")
+        return out
+
     @property
     def indexes(self) -> Indexes:
         return Indexes(self.vectors, self.codebook, self.coarse, self.residual_codebook, self.multi, self.m, self.k_multi, self.dims)

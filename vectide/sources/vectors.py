@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +77,15 @@ def read_word2vec(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "id long, word string, vector array<float>")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors both read and write: spark.checkpoint.dir, or a temporary folder if it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vectide-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
+
+
 def save_index(index: DataFrame, path: str) -> None:
     """Inverted lists as Parquet in a folder for each cell, so that searches read their cells only; each cell is written by one task or few."""
     index.repartition("coarse_id").write.mode("overwrite").partitionBy("coarse_id").parquet(path)
