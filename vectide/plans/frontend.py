@@ -82,7 +82,7 @@ class Model:
 
     def one(self, query) -> DataFrame:
         if isinstance(query, str):
-            return self.words(self.spark.createDataFrame([(query,)], "word string"))
+            return self.vectors.where(F.col("word") == query).select(F.col("id").alias("qid"), F.col("word").alias("query"), "vector")
         return self.spark.range(1).select(F.col("id").alias("qid"), F.lit("").alias("query"), knn.literal(query).alias("vector"))
 
     # pairs qid, id, word, similarity by each implementation
