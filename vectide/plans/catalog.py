@@ -143,7 +143,7 @@ def knn_in_ids(spark, sf):
 def knn_in_vectors(spark, sf):
     """The vectors of each label are an array; its nearest to a fixed query by position."""
     rows = table(spark, sf, "embeddings").where("label = 3").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
-    return knn.knn_in_vectors(rows, [1.0 if j % 2 else -1.0 for j in range(DIMS)], N).select("id", "similarity")
+    return knn.knn_in_vectors(rows, [1.0 if j % 2 else -1.0 for j in range(DIMS)], N).select(F.col("id").cast("long").alias("id"), "similarity")
 
 
 def knn_join_exact(spark, sf):
