@@ -24,6 +24,8 @@ from vectide.llm.words import HashTable
 ORDER = 5
 #: The bound of the fitting sample: documents and characters of a language, and characters of all languages together.
 MAX_DOCS, MAX_CHARS, MAX_ALL_CHARS = 1000, 2_000_000, 16_000_000
+#: The most languages that are learned, the most frequent ones.
+MAX_LANGUAGES = 500
 #: A tenth of the sample is held back for calibration. A document is rejected if it is MARGIN nats worse than the centre of
 #: these and so many times the spread that all but a thousandth of them show at its length, up to LONG characters.
 HELD_BACK, SLACK, LONG, MARGIN = 10, 3.0, 400, 1.0
@@ -220,8 +222,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs:
     """
     rows = docs.select((F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)).alias("at"), F.col(lang_col).alias("lang"), as_text(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(1.25 * max_docs) / F.count("*")).alias("share"))
-    few = rows.join(F.broadcast(share), "lang").where((F.col("at") <= F.col("share")) & (F.length("text") <= MAX_CHARS))  # one row a language
+    share = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    share = share.select("lang", (F.lit(1.25 * max_docs) / F.col("count")).alias("share"))
+    few = rows.join(F.broadcast(share), "lang").where((F.col("at") <= F.col("share")) & (F.length("text") <= MAX_CHARS))
     return few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(f"k <= {max_docs}").select("lang", "text", "k")
 
 
