@@ -98,6 +98,28 @@ def test_prefixes_never_miss_a_link():
             assert own[band] >= n - need + 1 and dict(near_dedup._bands(m))[band] >= m - need + 1
 
 
+def test_sketch_prefixes_never_miss_a_link():
+    """For every pair of sizes that can be linked and one of which fits into a sketch, in the worst order of values."""
+    k = 64
+    assert near_dedup.sketch_overlap(64, k, near_dedup.SHARED) == 48
+    for n in range(1, k + 1):
+        for m in range(n, 100 * n // 80 + 1):
+            common = near_dedup.least_overlap(n, m) - max(0, m - k)
+            assert all(near_dedup.sketch_overlap(x, k, near_dedup.SHARED) <= common for x in (n, m))
+
+
+def test_near_copies_around_the_sketch_size(spark):
+    """Sets of about k shingles inside sets whose sketches are cut."""
+    rng, rows = random.Random(3), []
+    for group, (n, m) in enumerate([(52, 65), (60, 75), (63, 78), (64, 78), (64, 79), (64, 80)] * 8):
+        base = [f"g{group}x{j}" for j in range(m)]
+        rows += [" ".join(base[:n]), " ".join(base)]
+    rng.shuffle(rows)
+    rows = [(k, t, None, None) for k, t in enumerate(rows)]
+    got = near_dedup.near_duplicates(table_of(spark, rows), width=1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components([r[:2] for r in rows], 1)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

@@ -127,6 +127,14 @@ def _bands(n: int) -> list[tuple[int, int]]:
     return list(out.items())
 
 
+@lru_cache(1 << 16)
+def sketch_overlap(n: int, k: int, shared: int) -> int:
+    """The fewest common sketch values of a set of n and any linked partner; a partner of more than k has lost all beyond k, in the worst case common ones."""
+    if n > k:
+        return shared
+    return min(least_overlap(n, m) - max(0, m - k) for m in range(-(-LIMIT * n // PARTS), PARTS * n // LIMIT + 1))
+
+
 def sketch_index(classes: DataFrame, counters: np.ndarray, k: int, shared: int) -> DataFrame:
     """key, at, id, n: a row for each of a sketch's first values that is not alone."""
     sent = classes.sparkSession.sparkContext.broadcast(counters)
@@ -136,7 +144,7 @@ def sketch_index(classes: DataFrame, counters: np.ndarray, k: int, shared: int)
             keys, ids, sizes, pos = [], [], [], []
             for i, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
                 v, f = _ranked(s, sent.value)
-                need = -(-LIMIT * n // PARTS) if n <= k else shared
+                need = sketch_overlap(n, k, shared)
                 v, f = v[: len(s) - need + 1], f[: len(s) - need + 1]
                 at = np.flatnonzero(f > 1)
                 keys.append(v[at])
