@@ -102,6 +102,75 @@ def test_media_finds_frames_after_damage():
     assert media.parse_mpeg(bytes(flipped)).crc_bad == 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 2200), st.lists(st.tuples(st.sampled_from([b"TAG", b"ID3\x04\0\0\0\0\0\x05", b"Xing", b"Info", b"VBRI", b"\xff\xfa\x90\xc0", b"\xff\xfb\x90\x00"]), st.integers(0, 400)), max_size=4))
+def test_media_round_trip_with_marks_near_the_end(size, marks):
+    data = bytearray(b"x" * size)
+    for mark, back in marks:
+        at = max(0, size - back)
+        data[at : at + len(mark)] = mark
+    check_round_trip(bytes(data))
+
+
+@pytest.mark.parametrize("mark", [b"TAG", b"ID3", b"\xff\xfa"])
+@pytest.mark.parametrize("size", [100, 300, 2000])
+def test_media_round_trip_with_a_mark_at_each_offset(mark, size):
+    for at in range(max(0, size - 200), size):
+        check_round_trip(b"y" * at + mark + b"y" * max(0, size - at - len(mark)))
+
+
+def check_round_trip(data):
+    stream = media.stored_form(data)
+    s = media.parse_mpeg(stream)
+    assert media.payload_of(stream, s) == (data + bytes(-len(data) % 64 if data else 64), len(data))
+    assert s.tags == ["ID3v2.4"] and s.skipped == 0 and s.crc_bad == 0
+
+
+def frame_of(four, body, wrong=0):
+    """A frame with a checksum over its header and so many bits of its body, by long division."""
+    h = media.header(four)
+    bits = media.protected_bits(h, body)
+    message = int.from_bytes(four[2:4], "big") << bits | int.from_bytes(body, "big") >> (8 * len(body) - bits)
+    n = 16 + bits
+    rest = message << 16 ^ 0xFFFF << n
+    for k in range(n + 15, 15, -1):
+        if rest >> k & 1:
+            rest ^= 0x18005 << (k - 16)
+    return (four + (rest ^ wrong).to_bytes(2, "big") + body).ljust(h.length, b"\0")
+
+
+@pytest.mark.parametrize("four, bits", [
+    (b"\xff\xfe\x90\x00", 256),  # Layer I, two channels of 32 allocations of 4 bits
+    (b"\xff\xfe\x90\xc0", 128),  # Layer I, mono
+    (b"\xff\xfe\x90\x50", 4 * (8 * 2 + 24)),  # Layer I, channels joint from subband 8
+    (b"\xff\xfc\xa0\xc0", None),  # Layer II, mono, 160 kbit/s: 30 subbands, and 2 bits for each that has samples
+])
+def test_media_checksums_of_layers_i_and_ii(four, bits):
+    body = b"\x55" * 40
+    h = media.header(four)
+    if h.layer == 2:
+        sizes = [4] * 11 + [3] * 12 + [2] * 7
+        stream, at, used = "".join(f"{x:08b}" for x in body), 0, 0
+        for n in sizes:
+            used += "1" in stream[at : at + n]
+            at += n
+        bits = at + 2 * used
+    assert media.protected_bits(h, body) == bits
+    good, bad = frame_of(four, body), frame_of(four, body, 1)
+    s = media.parse_mpeg(good * 3 + bad + good)
+    assert (len(s.offsets), s.crc_good, s.crc_bad) == (5, 4, 1)
+
+
+def test_media_without_frames():
+    empty = media.parse_mpeg(b"")
+    assert "kbps=none" in media.feature_of(empty)
+    with pytest.raises(ValueError):
+        media.payload_of(b"", empty)
+    whole = media.stored_form(b"z" * 5000)
+    with pytest.raises(ValueError):
+        media.payload_of(whole[:-900], media.parse_mpeg(whole[:-900]))
+
+
 def test_media_headers_and_tables():
     assert media.header(b"\xff\xfb\x90\x00").length == 417 and media.header(b"\xff\xfb\x92\x00").length == 418
     assert media.header(b"\xff\xf3\x80\xc0").samples == 576 and media.header(b"\xff\xff\x10\x00").samples == 384
@@ -132,8 +201,19 @@ def test_media_facts(odd, none):
     for _, t, _ in texts(odd):
         b = t.encode()
         p = b + bytes(-len(b) % 64 if b else 64)
-        want[len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
-    assert Counter((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+        stream = media.encode_mpeg(p, len(b))
+        frames = []
+        at = stream.index(b"\xff\xfa")
+        while at < len(stream):
+            frames.append(at)
+            at += media.header(stream[at : at + 4]).length
+        kbps = [media.header(stream[o : o + 4]).kbps for o in frames[1:]]
+        n = len(kbps)
+        feature = f"{1152 * n}/32000s;frames={n};table=Xing:{n};kbps={min(kbps)}-{max(kbps)};crc={n + 1}/{n + 1};tags=ID3v2.4;skipped=0"
+        digests = (len(stream), hashlib.sha256(stream).hexdigest(), feature, tuple(frames[1:]))
+        want[len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), *digests] += 1
+    fields = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    assert Counter((*(r[f] for f in fields), tuple(r["offsets"])) for r in got) == want
     assert media.media_facts(none).count() == 0
 
 
