@@ -193,13 +193,87 @@ def test_types_are_consistent():
     good = pii.surrogate(b"k", "card", "4111111111111111")
     bad = pii.surrogate(b"k", "card", "4111111111111112")
     assert pii.luhn(good) == 0 != pii.luhn(bad) and len(good) == len(bad) == 16
-    f, m = (pii.surrogate(b"k", "person", f"LATIN:{g}:kim") for g in "fm")
+    f, m = (pii.surrogate(b"k", "person", "LATIN:kim", g) for g in "fm")
     assert f.endswith("a") and m.endswith("en")
     new, _ = pii.replaced("Г-жа Анна Иванова, Mr. JOHN SMITH and Dr. Smith", b"k", {})
     assert pii.script(new.split()[1]) == "CYRILLIC" and new.split("Mr. ")[1].split(" and")[0].isupper()
     assert new.split("SMITH")[0] and new.rsplit(" ", 1)[1].lower() == new.split(" and ")[0].rsplit(" ", 1)[1].lower()
 
 
+MORE_FORMS = {
+    "ip6": ["from 2001:db8::ff00:42:8329 on", "2001:0DB8:0000:0000:0000:FF00:0042:8329"],
+    "dni": ["DNI 12345678Z.", "12345678-Z"],
+    "nino": ["no AB 12 34 56 C here"],
+    "iban": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
+    "phone": ["tel: 5551234", "(030) 1234 5678", "555-123-4567", "01 23 45 67 89", "+442079460958", "Tel. 030 1234567"],
+    "address": ["at 221B Baker Street now", "Hauptstraße 12", "12 rue de Rivoli", "Calle Mayor 5"],
+}
+
+
+@pytest.mark.parametrize("kind, text", [(k, t) for k, ts in MORE_FORMS.items() for t in ts])
+def test_more_forms(kind, text):
+    (a, b, _, found, canon), = pii.entities(text)
+    new, _ = pii.replaced(text, b"k", {})
+    (x, y, _, again, other), = pii.entities(new)
+    assert found == again == kind and canon != other and text[:a] == new[:x] and text[b:] == new[y:]
+    if kind == "iban":
+        assert pii.mod97(other) == 1 and other[:2] == canon[:2] and len(other) == len(canon)
+
+
+@pytest.mark.parametrize("text", [
+    "2024-01-15", "1999-2005 2010", "12.05.2024 10:30:22", "pages 100 200 300 4000", "ISBN 978-3-16-148410-0", "4111 1111 1111 1112", "a::b", "std::vector::x",
+    "12345678A", "GB82 WEST 1234 5698 7654 33", "1, 2, 3, 100, 200", "2.718281828459045", "10:30:00", "no 1234567890123456 here",
+])
+def test_numbers_of_other_kinds_stay(text):
+    assert pii.replaced(text, b"k", {}) == (text, [])
+
+
+def test_coreference_and_distinctness_over_a_table(spark):
+    """Every word of a name has one surrogate wherever it stands, of the gender that its forms of address show, and no two share one."""
+    texts = [
+        "Mrs Jane Smith came. Jane said so, and Smith's dog with Dr Jane Smith. JANE!",
+        "We saw Jane Smith again, and jane the smith.",  # no form of address here
+        "Mr. John Smith met Ms. Mary Jones; John left Mary.",
+        "Dr. Kim Jones, Mr. Kim Jones and Mrs. Kim Jones",  # both genders: unknown
+        "A Smith and a Jane in other texts stay.",
+        "call +1 (275) 555-5927 or +1 275 555 5927, not +1 (275) 555-5928",
+    ]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(table_of(spark, [(k, t, None, None) for k, t in enumerate(texts)]), b"secret").collect()}
+    word = lambda k, n: re.findall(r"\w+", got[k]["text"])[n]
+    jane, smith = word(0, 1), word(0, 2)
+    new = [
+        f"Mrs {jane} {smith} came. {jane} said so, and {smith}'s dog with Dr {jane} {smith}. {jane.upper()}!",
+        f"We saw {jane} {smith} again, and jane the smith.",
+    ]
+    assert [got[0]["text"], got[1]["text"], got[4]["text"]] == [*new, texts[4]]
+    john, mary, jones, kim = word(2, 1), word(2, 5), word(2, 6), word(3, 1)
+    assert got[2]["text"] == f"Mr. {john} {smith} met Ms. {mary} {jones}; {john} left {mary}."
+    assert got[3]["text"] == f"Dr. {kim} {jones}, Mr. {kim} {jones} and Mrs. {kim} {jones}"
+    assert jane.endswith("a") and mary.endswith("a") and john.endswith("en") and kim.endswith("is") and smith.endswith("is")
+    assert len({jane, smith, john, mary, jones, kim, "Jane", "Smith", "John", "Mary", "Jones", "Kim"}) == 12
+    numbers = [re.sub(r"\D", "", x) for x in re.split("or|not", got[5]["text"])]
+    assert numbers[0] == numbers[1] != numbers[2] and "2755555927" not in numbers[0]
+
+
+def test_names_beyond_one_broadcast(spark, monkeypatch):
+    rows = [(k, f"Mr. A{chr(97 + k)} B{chr(97 + k)}x here", None, None) for k in range(20)] + [(100 + k, f"with A{chr(97 + k)} B{chr(97 + k)}x there", None, None) for k in range(20)]
+    want = sorted((r["doc_id"], r["text"]) for r in pii.pseudonymise(table_of(spark, rows), b"k").collect())
+    assert all("with A" not in t for _, t in want)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 3)
+    assert sorted((r["doc_id"], r["text"]) for r in pii.pseudonymise(table_of(spark, rows), b"k").collect()) == want
+
+
+def test_a_full_number_space_ends_in_labels(spark):
+    """If all nine numbers of a form are in use none is free for another; each entity then has a label of its own."""
+    rows = [("phone", str(k), "x", 0, pii.surrogate(b"k", "phone", str(k))) for k in range(1, 10)]
+    found = spark.createDataFrame(rows, "kind string, canon string, gender string, tries int, fake string")
+    labels = {pii.label(b"k", "phone", str(k)) for k in range(1, 10)}
+    assert len(labels) == 9 and not any(pii.entities(x) for x in labels)
+    got = pii.collisions(found, b"k", rounds=2).collect()
+    assert {(r["canon"], r["tries"]) for r in got} == {(str(k), -1) for k in range(1, 10)}
+    assert {pii.surrogate(b"k", "phone", r["canon"], "x", r["tries"]) for r in got} == labels
+
+
 @pytest.mark.parametrize("text", ["", "no data here", "in 2024 the 12 of 1000", "a@b", "Mr of nothing", "version 1.2.3.4.5 of 3.14", "The end. Dr"])
 def test_clean_texts_stay(text):
     assert pii.replaced(text, b"k", {}) == (text, [])
@@ -207,25 +281,25 @@ def test_clean_texts_stay(text):
 
 def test_collisions_are_drawn_again(spark):
     """A real address that is another's surrogate, and a card that is another card's."""
-    fake = pii.surrogate(pii.KEY, "ip", "10.1.2.3")
+    fake = pii.surrogate(pii.QUERY_KEY, "ip", "10.1.2.3")
     rows = [(1, "from 10.1.2.3 to", None, None), (2, f"at {fake} now", None, None), (3, "again 10.1.2.3 and 10.1.2.4", None, None), (4, None, None, None)]
-    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(table_of(spark, rows)).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(table_of(spark, rows), pii.QUERY_KEY).collect()}
     ip = re.compile(r"\d+\.\d+\.\d+\.\d+")
     a, b, (c, d) = ip.findall(got[1])[0], ip.findall(got[2])[0], ip.findall(got[3])
     assert a == c and len({a, b, d}) == 3 and not {a, b, d} & {"10.1.2.3", "10.1.2.4", fake} and got[4] == ""
 
 
 def test_collisions_beyond_one_broadcast(spark, monkeypatch):
-    rows = [(k, f"from 10.0.0.{k} at {pii.surrogate(pii.KEY, 'ip', f'10.0.0.{k}')} end", None, None) for k in range(20)]
-    want = sorted((r["doc_id"], r["text"]) for r in pii.pseudonymise(table_of(spark, rows)).collect())
+    rows = [(k, f"from 10.0.0.{k} at {pii.surrogate(pii.QUERY_KEY, 'ip', f'10.0.0.{k}')} end", None, None) for k in range(20)]
+    want = sorted((r["doc_id"], r["text"]) for r in pii.pseudonymise(table_of(spark, rows), pii.QUERY_KEY).collect())
     monkeypatch.setattr(pii, "BROADCAST_ROWS", 3)
-    assert sorted((r["doc_id"], r["text"]) for r in pii.pseudonymise(table_of(spark, rows)).collect()) == want
+    assert sorted((r["doc_id"], r["text"]) for r in pii.pseudonymise(table_of(spark, rows), pii.QUERY_KEY).collect()) == want
 
 
 def test_surrogates_of_odd_rows(odd, none):
-    got = pii.pseudonymise(odd).collect()
+    got = pii.pseudonymise(odd, pii.QUERY_KEY).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows_of(odd))
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, pii.QUERY_KEY).count() == 0
 
 
 # language ID
