@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: A small table that may not be broadcast is joined to a skewed one in so many salted copies.
 SALTS = 64
+#: A key of at most so many rows is no burden to a task.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vectide-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -74,5 +78,42 @@ def join_small(rows: DataFrame, small: DataFrame, key: str, salt: Column) -> Dat
     return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(spread, [key, "_salt"], "left").drop("_salt")
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to a stored table whose column `count` says how many rows a key may have at most.
+
+    A key of more than HOT rows, and of more than a BROADCAST_ROWS-th of all counted ones, would fill a task; there are
+    at most BROADCAST_ROWS such entries, so they are broadcast and their rows stay where they are. All others merge.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    bar = max(HOT, total // BROADCAST_ROWS)
+    hot, cold = counted.where(F.col(count) > bar), counted.where(F.col(count) <= bar)
+    names = [*rows.columns, *(c for c in counted.columns if c not in keys)]
+    if total <= HOT or hot.isEmpty():
+        return rows.join(cold.hint("merge"), keys, how).select(names)
+    mark = spare("_hot", names)
+    marks = F.broadcast(hot.select(*keys).distinct().withColumn(mark, F.lit(True)))
+    left = rows.join(marks, keys, "left_anti").join(cold.hint("merge"), keys, how)
+    return rows.join(F.broadcast(hot), keys).select(names).unionByName(left.select(names))
+
+
+def bitmap(keys: DataFrame, most_bits: int = 27) -> tuple[DataFrame, int]:
+    """(part, bits) of a set of hashes (h), to be broadcast, and the bits of a hash that it looks at: 16 times as many places as keys, 16 MB at most."""
+    bits = min(most_bits, max(15, (16 * keys.count()).bit_length()))
+    h = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    parts = keys.select(F.shiftright(h, 15).alias("part"), h.bitwiseAND(F.lit(32767)).alias("at"))
+    return parts.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")), bits
+
+
+def in_bitmap(rows: DataFrame, found: DataFrame, bits: int, h: Column, out: str) -> DataFrame:
+    """rows with a boolean: False if the hash is surely not in the set."""
+    part, seen = spare("_part", rows.columns), spare("_bits", rows.columns)
+    low = h.bitwiseAND(F.lit((1 << bits) - 1))
+    at = low.bitwiseAND(F.lit(32767)).cast("int")
+    both = rows.withColumn(part, F.shiftright(low, 15)).join(F.broadcast(found.select(F.col("part").alias(part), F.col("bits").alias(seen))), part, "left")
+    byte = F.conv(F.hex(F.substr(F.col(seen), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
+    return both.withColumn(out, F.coalesce(hit, F.lit(False))).drop(part, seen)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
