@@ -75,6 +75,34 @@ def test_near_copies_against_brute_force(spark, monkeypatch, width, longest):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("width, deepest", [(2, 2), (2, 4), (5, 3)])
+def test_near_copies_in_split_lists(spark, monkeypatch, width, deepest):
+    """Documents that share most of a text but are no copies, so that long lists hold many roots; every such list is split."""
+    for name, value in {"LIST": 3, "HEADS": 1, "MORE": 0, "DEEPEST": deepest}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(width)
+    base = words(rng, 60, 10_000).split()
+    rows = []
+    for _ in range(60):
+        own = list(base)
+        at = rng.randrange(50)
+        own[at : at + 10] = [f"v{rng.randrange(40)}" for _ in range(rng.randrange(8, 13))]
+        rows.append(" ".join(own))
+    rows = [(k, t, None, None) for k, t in enumerate(rows + [r[1] for r in copies(rng, 10, [1, 2, 12])])]
+    got = near_dedup.near_duplicates(table_of(spark, rows), width=width).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components([r[:2] for r in rows], width)
+
+
+def test_near_copies_with_broadcast_lists(spark, monkeypatch):
+    """What is known of the most frequent sets and lists goes to the rows; the rest is merged."""
+    monkeypatch.setattr("vectide.llm.common.HOT", 3)
+    monkeypatch.setattr(near_dedup, "LIST", 3)
+    rows = copies(random.Random(8), 20, [1, 2, 3, 12])
+    rows = [(k, t, None, None) for k, t in enumerate([r[1] for r in rows] + [rows[0][1]] * 30)]
+    got = near_dedup.near_duplicates(table_of(spark, rows), width=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components([r[:2] for r in rows], 2)
+
+
 def test_near_copies_of_odd_rows(odd, none):
     rows = rows_of(odd)
     got = near_dedup.near_duplicates(odd, width=2).collect()
@@ -108,16 +136,26 @@ def test_sketch_prefixes_never_miss_a_link():
             assert all(near_dedup.sketch_overlap(x, k, near_dedup.SHARED) <= common for x in (n, m))
 
 
-def test_near_copies_around_the_sketch_size(spark):
+@pytest.mark.parametrize("width", [1, 2])
+def test_near_copies_around_the_sketch_size(spark, width):
     """Sets of about k shingles inside sets whose sketches are cut."""
     rng, rows = random.Random(3), []
-    for group, (n, m) in enumerate([(52, 65), (60, 75), (63, 78), (64, 78), (64, 79), (64, 80)] * 8):
-        base = [f"g{group}x{j}" for j in range(m)]
-        rows += [" ".join(base[:n]), " ".join(base)]
+    for n in range(52, 65):
+        for m in range(65, 81):
+            if 100 * n >= 80 * m:
+                # the smaller inside the larger, in the middle of it, and with a word of its own
+                base = [f"g{n}x{m}y{j}" for j in range(m)]
+                rows += [" ".join(base[:n]), " ".join(base)]
+                base = [f"h{n}x{m}y{j}" for j in range(m)]
+                rows += [" ".join(base[m - n :]), " ".join(base)]
+                base = [f"i{n}x{m}y{j}" for j in range(m)]
+                rows += [" ".join([*base[: n - 1], f"own{n}x{m}"]), " ".join(base)]
     rng.shuffle(rows)
     rows = [(k, t, None, None) for k, t in enumerate(rows)]
-    got = near_dedup.near_duplicates(table_of(spark, rows), width=1).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components([r[:2] for r in rows], 1)
+    if width == 2:  # one shingle more than words
+        rows = [(k, t + " " + t.split()[0][:4] + "end", None, None) for k, t, *_ in rows]
+    got = near_dedup.near_duplicates(table_of(spark, rows), width=width).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components([r[:2] for r in rows], width)
 
 
 def test_components(spark):

@@ -11,11 +11,16 @@
 Lists longer than LIST are not paired. Their classes get an exact index over full sets instead: by size band, the
 first shingles in rare-first order that a pair above the limit must share. Lists that are still long hold mostly near
 copies of each other: all members are compared to a few of the list, and members that end up in another component than
-most of the list are compared to the others of it.
+most of the list are looked at again. If pairing them with their lists would be more than MORE pairs a row, their lists
+are first split by a second shingle, and so on, as a linked pair shares not only the first shingles but, a place
+further, the next ones too. All pairs that are left are compared.
 
-With k = 64 and a limit of 0.8, a linked pair shares fewer than 33 of the union's 64 smallest values in about one of
-ten million cases; sets of at most k shingles, and all pairs from long lists, are handled without such a chance before
-the estimate.
+A list never meets in one task: what is known of a long list is broadcast, as there can be few long ones.
+
+What chance leaves: a linked pair of two sets of more than k shingles shares fewer than SHARED of the union's k smallest
+values in about one of ten million cases (k = 64, limit 0.8), and so it is for a pair with one such set in the estimate
+from the union's sketch. The index entries of a set of at most k shingles allow for partners whose sketches are cut and
+lose no link. Different shingles with equal 64-bit hashes would count as one.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import as_text, discard, stored, table
+from vectide.llm.common import as_text, discard, join_counted, stored, table
 from vectide.llm.words import Words, blocks, mixed
 
 #: Retained hashes; how many of a union's k smallest a linked pair shares at least; the longest list that is paired; members that a longer list is compared to.
 K, SHARED, LIST, HEADS = 64, 33, 32, 8
+#: Pairs a row that may be compared without splitting lists further, and the most shingles that split a list.
+MORE, DEEPEST = 64, 4
 #: Links need PARTS * common >= LIMIT * union.
 LIMIT, PARTS = 80, 100
 #: Counters of the frequencies that order values; the ratio of sizes in a band.
@@ -186,41 +193,92 @@ def lists(index: DataFrame, label: str) -> DataFrame:
     """The index with the length of each row's list; lists of one are gone."""
     index = stored(index, f"{label}-index")
     sizes = stored(index.groupBy("key", "band").agg(F.count("*").alias("size")).where("size > 1"), f"{label}-sizes")
-    out = stored(index.join(sizes.hint("merge"), ["key", "band"]), f"{label}-lists")
+    out = stored(join_counted(index, sizes, ["key", "band"], "size"), f"{label}-lists")
     discard(index, sizes)
     return out
 
 
-def _fit(whole: bool):
-    """Whether rows a, b of one list can be linked by their sizes and, if places count in whole sets, by what comes from the list's value on: the first common value of a linked pair leaves both enough."""
+def _fit(whole: bool, depth: int = 1):
+    """Whether rows a, b of one list can be linked by their sizes and, if places count in whole sets, by what comes from the list's last value on: the first common values of a linked pair leave both enough."""
     sizes = PARTS * F.least("na", "nb") >= LIMIT * F.greatest("na", "nb")
     if not whole:
         return sizes
-    need = F.ceil(LIMIT * (F.col("na") + F.col("nb")) / (PARTS + LIMIT))
+    need = F.ceil(LIMIT * (F.col("na") + F.col("nb")) / (PARTS + LIMIT)) - (depth - 1)
     return sizes & (F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need)
 
 
-def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("key", "band", F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"p{name}"))
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("key", "band", F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"p{name}"), *more)
 
 
-def _pair(x: DataFrame, y: DataFrame) -> DataFrame:
+def _ordered(both: DataFrame, depth: int = 1) -> DataFrame:
     """Distinct pairs a < b of members of one list of whole sets that may be linked."""
-    both = _side(x, "a").join(_side(y, "b"), ["key", "band"]).where((F.col("a") != F.col("b")) & _fit(True))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fit = both.where((F.col("a") != F.col("b")) & _fit(True, depth))
+    return fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def listed_pairs(listed: DataFrame, whole: bool) -> DataFrame:
     """Distinct pairs a < b of members of short lists that may be linked."""
     short = listed.where(F.col("size") <= LIST)
-    return _side(short, "a").join(_side(short, "b"), ["key", "band"]).where((F.col("a") < F.col("b")) & _fit(whole)).select("a", "b").distinct()
+    both = _side(short, "a").join(_side(short, "b"), ["key", "band"])
+    return both.where((F.col("a") < F.col("b")) & _fit(whole)).select("a", "b").distinct()
 
 
 def star_pairs(listed: DataFrame) -> DataFrame:
     """Members of long lists with a few of the list, those whose first shared value comes earliest and so have least of their own."""
     long = listed.where(F.col("size") > LIST)
     first = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.col("at") / F.col("n"), "id"))
-    return _pair(long, long.withColumn("k", first).where(F.col("k") <= HEADS))
+    heads = stored(long.withColumn("k", first).where(F.col("k") <= HEADS), "near-heads")
+    return _ordered(join_counted(_side(long, "a"), _side(heads, "b", "size"), ["key", "band"], "size"))
+
+
+def apart_lists(members: DataFrame, label: str) -> DataFrame:
+    """Of members of long lists with their roots, the lists of more than one root: key, band, at, id, n, size, aparts (of the list), apart (whether the row has another root than most)."""
+    by_root = members.groupBy("key", "band", "root").agg(F.count("*").alias("n_root"))
+    most = by_root.groupBy("key", "band").agg(F.max(F.struct("n_root", "root")).alias("most"), F.sum("n_root").alias("size"))
+    most = most.select("key", "band", F.col("most.root").alias("most"), "size", (F.col("size") - F.col("most.n_root")).alias("aparts")).where("aparts > 0")
+    found = join_counted(members.drop("size"), stored(most, f"{label}-most"), ["key", "band"], "size")
+    return stored(found.select("key", "band", "at", "id", "n", "size", "aparts", (F.col("root") != F.col("most")).alias("apart")), f"{label}-apart")
+
+
+def deeper(lists: DataFrame, sets: DataFrame, counters: np.ndarray, depth: int, label: str) -> DataFrame:
+    """apart_lists, each split by one more shingle: after depth values in common, a linked pair shares another one among the first that leave enough."""
+    sent = sets.sparkSession.sparkContext.broadcast(counters)
+    # the lists that a set is in are bounded by its own first shingles
+    own = lists.groupBy("id").agg(F.collect_list(F.struct("key", "band", "at", "apart")).alias("lists"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, n, s, lists_of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                v, f = _ranked(s, sent.value)
+                first = dict(_bands(n))
+                keys, places, bands, aparts = [], [], [], []
+                for x in lists_of:
+                    at = x["at"] + 1 + np.flatnonzero(f[x["at"] + 1 : first[x["band"]] + depth] > 1)
+                    keys.append(mixed(v[at] + np.uint64(x["key"] % 2**64) * np.uint64(_STEP)))
+                    places.append(at)
+                    bands.append(np.full(len(at), x["band"], np.int32))
+                    aparts.append(np.full(len(at), x["apart"], bool))
+                size = sum(map(len, keys))
+                if size:
+                    rows = _index_rows(keys, places, [i] * size, [n] * size, np.concatenate(bands))
+                    yield rows.append_column("apart", pa.array(np.concatenate(aparts)))
+
+    rows = stored(own.join(sets, "id").select("id", "n", "shingles", "lists").mapInArrow(work, f"{_INDEX}, apart boolean"), f"{label}-index")
+    sizes = rows.groupBy("key", "band").agg(F.count("*").alias("size"), F.sum(F.col("apart").cast("long")).alias("aparts")).where("size > 1 and aparts > 0")
+    out = stored(join_counted(rows, stored(sizes, f"{label}-sizes"), ["key", "band"], "size"), f"{label}-lists")
+    discard(rows)
+    return out
+
+
+def apart_pairs(lists: DataFrame, sets: DataFrame, counters: np.ndarray, rows: int) -> DataFrame:
+    """Distinct pairs of each row that is apart with the other rows of its list that it may be linked to; lists are split until that is no more than MORE pairs a row."""
+    depth = 1
+    while depth < DEEPEST and (lists.agg(F.sum(F.when(F.col("apart"), F.col("size")))).first()[0] or 0) > MORE * rows:
+        lists = deeper(lists, sets, counters, depth, f"near-deep-{depth}")
+        depth += 1
+    of = stored(lists.where("apart"), "near-sides")
+    return _ordered(join_counted(_side(lists, "a"), _side(of, "b", "size"), ["key", "band"], "size"), depth)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int, shared: int) -> DataFrame:
@@ -334,7 +392,9 @@ def joined(roots: DataFrame, links: DataFrame, label: str) -> DataFrame:
     return stored(every.join(top, "old", "left").select("id", F.coalesce("top", "old").alias("root")), f"{label}-roots")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, k: int = K, shared: int = SHARED) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, k: int = K, shared: int = SHARED
+) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id of all that links reach), kept.
 
     A text without words, or null, has no shingles and no links; its component is its own id. Rows with a null id are
@@ -342,7 +402,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. An empty table gives no rows; other input columns may have any names; texts of any length are read whole.
     """
     rows = stored(sketched(docs, id_col, text_col, width, k), "near-rows")
-    classes = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    same = (F.min("id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    classes = rows.where("n > 0 and id is not null").groupBy("digest").agg(*same)
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
 
     listed = lists(sketch_index(classes, frequencies(classes, "sketch"), k, shared), "near-sketch")
@@ -351,31 +412,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).unionByName(crowded).distinct()
     sets = stored(full_sets(docs, classes.join(needed, "id"), id_col, text_col, width), "near-sets")
 
-    own = sets.join(crowded, "id", "left_semi")
-    longer = lists(set_index(own, frequencies(own, "shingles")), "near-set")
+    own = stored(sets.join(crowded, "id", "left_semi"), "near-own")
+    order = frequencies(own, "shingles")
+    longer = lists(set_index(own, order), "near-set")
     more = stored(estimated(listed_pairs(longer, True).unionByName(star_pairs(longer)).distinct(), classes, k, shared), "near-more")
     pairs = found.unionByName(more).distinct()
 
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
-    best = ends.groupBy("a").agg(F.max(F.struct("share", F.col("b").alias("b"))).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+    best = ends.groupBy("a").agg(F.max(F.struct("share", F.col("b").alias("b"))).alias("best"))
+    best = best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     roots = stored(components(stored(verified(best, sets), "near-best"), "near-1"), "near-roots")
     roots = joined(roots, stored(verified(crossing(pairs, roots), sets), "near-links"), "near-2")
 
-    member = stored(rooted(longer.where(F.col("size") > LIST), roots, "id", "root"), "near-members")
-    most = member.groupBy("key", "band", "root").agg(F.count("*").alias("n_root")).groupBy("key", "band").agg(F.max(F.struct("n_root", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    apart = member.join(stored(most.select("key", "band", F.col("most.root").alias("most")), "near-most").hint("merge"), ["key", "band"]).where("root <> most")
-    rest = stored(crossing(_pair(apart, member), roots).select("a", "b"), "near-apart")
-    roots = joined(roots, stored(verified(estimated(rest, classes, k, shared), sets), "near-rest"), "near-3")
+    members = stored(rooted(longer.where(F.col("size") > LIST), roots, "id", "root"), "near-members")
+    apart = apart_lists(members, "near")
+    if not apart.isEmpty():
+        rest = stored(crossing(apart_pairs(apart, own, order, classes.count()), roots).select("a", "b"), "near-rest")
+        roots = joined(roots, stored(verified(estimated(rest, classes, k, shared), sets), "near-late"), "near-3")
+        discard(rest)
 
-    labelled = rooted(classes.select("id", "doc", "digest"), roots, "id", "root")
-    labelled = stored(labelled, "near-labelled")
+    labelled = stored(rooted(classes.select("id", "doc", "digest", "copies"), roots, "id", "root"), "near-labelled")
     smallest = labelled.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of = stored(labelled.join(smallest, "root").select("digest", "component_id"), "near-components")
-    discard(classes, listed, found, crowded, sets, longer, more, member, labelled)
-    out = rows.select("id", "n", "digest").join(of.hint("merge"), "digest", "left")
-    linked = (F.col("n") > 0) & F.col("id").isNotNull()
-    component = F.when(linked, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    of = stored(labelled.join(smallest, "root").select("digest", "copies", "component_id"), "near-components")
+    discard(classes, listed, found, crowded, sets, own, longer, more, members, apart, labelled)
+    linked = "n > 0 and id is not null"
+    out = join_counted(rows.where(linked).select("id", "n", "digest"), of, ["digest"], "copies", "left").select("id", "n", "component_id")
+    lone = rows.where(f"not ({linked})").select("id", "n", F.col("id").alias("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return out.unionByName(lone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def op4_bottomk_near_dedup(spark, sf_dir):
