@@ -78,7 +78,7 @@ def test_near_copies_against_brute_force(spark, monkeypatch, width, longest):
 @pytest.mark.parametrize("width, deepest", [(2, 2), (2, 4), (5, 3)])
 def test_near_copies_in_split_lists(spark, monkeypatch, width, deepest):
     """Documents that share most of a text but are no copies, so that long lists hold many roots; every such list is split."""
-    for name, value in {"LIST": 3, "HEADS": 1, "MORE": 0, "DEEPEST": deepest}.items():
+    for name, value in {"LIST": 3, "HEADS": 1, "MORE": 0, "DEEPEST": deepest, "GAIN": 1e9}.items():
         monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(width)
     base = words(rng, 60, 10_000).split()

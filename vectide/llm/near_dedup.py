@@ -41,7 +41,9 @@ from vectide.llm.words import Words, blocks, mixed
 #: Retained hashes; how many of a union's k smallest a linked pair shares at least; the longest list that is paired; members that a longer list is compared to.
 K, SHARED, LIST, HEADS = 64, 33, 32, 8
 #: Pairs a row that may be compared without splitting lists further, and the most shingles that split a list.
-MORE, DEEPEST = 64, 4
+MORE, DEEPEST = 4096, 4
+#: Splitting lists goes on only while it leaves at most such a share of the pairs; lists of near copies don't get shorter by it.
+GAIN = 0.5
 #: Links need PARTS * common >= LIMIT * union.
 LIMIT, PARTS = 80, 100
 #: Counters of the frequencies that order values; the ratio of sizes in a band.
@@ -255,7 +257,7 @@ def deeper(lists: DataFrame, sets: DataFrame, counters: np.ndarray, depth: int,
                 keys, places, bands, aparts = [], [], [], []
                 for x in lists_of:
                     at = x["at"] + 1 + np.flatnonzero(f[x["at"] + 1 : first[x["band"]] + depth] > 1)
-                    keys.append(mixed(v[at] + np.uint64(x["key"] % 2**64) * np.uint64(_STEP)))
+                    keys.append(mixed(v[at] ^ mixed(np.array([x["key"]], np.int64).view(np.uint64))))
                     places.append(at)
                     bands.append(np.full(len(at), x["band"], np.int32))
                     aparts.append(np.full(len(at), x["apart"], bool))
@@ -271,12 +273,21 @@ def deeper(lists: DataFrame, sets: DataFrame, counters: np.ndarray, depth: int,
     return out
 
 
+def _work(lists: DataFrame) -> int:
+    """How many pairs apart_pairs looks at."""
+    return lists.agg(F.sum(F.when(F.col("apart"), F.col("size")))).first()[0] or 0
+
+
 def apart_pairs(lists: DataFrame, sets: DataFrame, counters: np.ndarray, rows: int) -> DataFrame:
-    """Distinct pairs of each row that is apart with the other rows of its list that it may be linked to; lists are split until that is no more than MORE pairs a row."""
-    depth = 1
-    while depth < DEEPEST and (lists.agg(F.sum(F.when(F.col("apart"), F.col("size")))).first()[0] or 0) > MORE * rows:
-        lists = deeper(lists, sets, counters, depth, f"near-deep-{depth}")
-        depth += 1
+    """Distinct pairs of each row that is apart with the other rows of its list that it may be linked to; lists are split while that is more than MORE pairs a row and helps."""
+    depth, work = 1, _work(lists)
+    while depth < DEEPEST and work > MORE * rows:
+        split = deeper(lists, sets, counters, depth, f"near-deep-{depth}")
+        left = _work(split)
+        if left > GAIN * work:
+            discard(split)
+            break
+        lists, work, depth = split, left, depth + 1
     of = stored(lists.where("apart"), "near-sides")
     return _ordered(join_counted(_side(lists, "a"), _side(of, "b", "size"), ["key", "band"], "size"), depth)
 
