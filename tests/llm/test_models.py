@@ -509,11 +509,85 @@ def test_base_scores(odd, monkeypatch, head):
 
 def test_scores_do_not_depend_on_the_head(odd, monkeypatch):
     scores = []
-    for head in (1 << 18, 0):
+    for head, cells in ((1 << 18, 1 << 21), (30, 1 << 21), (1 << 18, 60), (0, 1 << 21)):
         monkeypatch.setattr(lattice.head_words, "__defaults__", (head,))
-        one = odd.where("lang is null or lang = 'aa'").withColumn("lang", F.lit("aa"))  # one class, so that it isn't inferred
-        scores.append(sorted(round(r["score"], 3) for r in lattice.score(one, one).collect()))
-    assert scores[0] == pytest.approx(scores[1], rel=1e-4)
+        monkeypatch.setattr(lattice, "HEAD_CELLS", cells)
+        got = lattice.score(odd, odd).collect()
+        scores.append(sorted((round(r["score"], 3), round(r["lattice_score"], 3)) for r in got))
+    for other in scores[1:]:
+        assert np.allclose(scores[0], other, rtol=1e-4)
+
+
+def brute_scores(rows, training):
+    """score and lattice_score by loops, with the operator's own fitted pieces; rows (id, text), training (id, text, lang)."""
+    langs = [x for x, _ in sorted(Counter(g for *_, g in training if g is not None).items(), key=lambda x: (-x[1], x[0]))]
+    split = lambda t: WORD.findall(t.translate(LOW))
+    number = {g: k for k, g in enumerate(langs)}
+    counts, docs = [Counter() for _ in range(len(langs) + 1)], Counter()
+    for _, t, g in training:
+        c = number.get(g, len(langs))
+        counts[c].update(split(t))
+        docs[c] += 1
+    start = lattice.start_lattice.fitted
+    spell = []
+    for own in counts:
+        w = Words([" ".join(own).encode()])
+        n = np.array([own[w.data[s:e].tobytes().decode()] for s, e in zip(w.start, w.end, strict=True)])
+        spell.append(start.weighted(start.expected(w.data, w.start, w.end - w.start, n), sum(own.values())) if own else start)
+    total_docs = sum(docs.values())
+    for i, t in rows:
+        words_of, best = split(t), None
+        buckets = [int(h) % lattice.BUCKETS for h in Words([t.encode()]).hash]
+        for c, own in enumerate(counts):
+            if own:
+                by_bucket = Counter()
+                for word, n in own.items():
+                    by_bucket[int(Words([word.encode()]).hash[0]) % lattice.BUCKETS] += n
+                size = sum(own.values())
+                fit = math.log(docs[c] / total_docs) + sum(math.log((by_bucket[b] + 0.01) / (size + 0.01 * lattice.BUCKETS)) for b in buckets)
+                best = max(best or (-math.inf, 0), (fit, -c))
+        c = -best[1]
+        own, size = counts[c], sum(counts[c].values())
+        every = size + docs[c]
+        ones, twos = (sum(n == k for n in own.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        whole = alone = math.log10(docs[c] / total_docs) + math.log10(docs[c] / every)
+        for word in words_of:
+            w = Words([word.encode()])
+            s = spell[c].word_scores(w.data, w.start, w.end - w.start)[0] / math.log(10)
+            whole += math.log10(max(own[word] - d, 0) / every + d * len(own) / every * 10**s)
+            alone += s + math.log10(size / every)
+        yield i, whole, alone
+
+
+@pytest.mark.parametrize("head", [1 << 18, 5, 0])
+def test_scores_against_loops(spark, monkeypatch, head):
+    """Two languages and documents without one, a head of few words and the rest joined."""
+    monkeypatch.setattr(lattice.head_words, "__defaults__", (head,))
+    kept = lattice.start_lattice
+
+    def start(*args):
+        start.fitted = kept(*args)
+        return start.fitted
+
+    monkeypatch.setattr(lattice, "start_lattice", start)
+    rng = random.Random(6)
+    known = {"aa": "the house of this and that in there".split(), "bb": "das haus von dem und der ist hier".split(), None: "x y zz".split()}
+    training = [(k, " ".join(rng.choices([*known[g], f"Word{rng.randrange(30)}"], k=rng.randrange(1, 20))), g) for k in range(60) for g in [rng.choice(["aa", "bb", "bb", None])]]
+    rows = [(200, ""), (201, "the House of das"), (202, "das haus ist word3 unseen"), (203, "zz y"), *[r[:2] for r in training[:10]]]
+    table = lambda rs: spark.createDataFrame(rs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in lattice.score(table([(*r, None) for r in rows]), table(training)).collect()}
+    for i, whole, alone in brute_scores(rows, training):
+        assert got[i]["score"] == pytest.approx(whole, rel=1e-4) and got[i]["lattice_score"] == pytest.approx(alone, rel=1e-4)
+
+
+def test_the_vocabulary_is_not_changed():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=lattice.VOCABULARY)
+    pieces = set(lattice.vocabulary())
+    assert all(sp.id_to_piece(i).replace("\u2581", " ").encode() in pieces for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
+    assert all(bytes([b]) in pieces for b in range(256))
 
 
 def test_scores_without_training(odd, none):
