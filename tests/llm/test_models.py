@@ -397,6 +397,37 @@ def test_languages(spark):
     assert not any(r["accepted"] for r in got.values()) and [got[k]["lang_pred"] for k in (2, 3, 4)] == ["und"] * 3 and got[1]["lang_pred"] in models.languages
 
 
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = langid.train(docs.where("lang <> 'es'"))
+    got = langid.identify(docs.select("doc_id", "text", "lang"), models, keep=("lang",)).collect()
+    assert np.mean([r["accepted"] for r in got if r["lang"] == "es"]) <= 0.1
+    assert np.mean([r["accepted"] for r in got if r["lang"] != "es"]) >= 0.98
+
+
+def test_marks_belong_to_letters_and_are_none():
+    assert langid.Chars(["ब\u093fन", "e\u0301t", "\u0301\u0302", "a b"]).n.tolist() == [4, 4, 3, 4]
+    assert langid.Chars(["ब\u093fन", "e\u0301t", "\u0301\u0302", "a b"]).lettered.tolist() == [True, True, False, True]
+
+
+def test_long_texts_are_no_end_of_a_sample(spark, monkeypatch):
+    """A language of long texts only is learned from one of them; texts that don't fit leave room for others."""
+    monkeypatch.setattr(langid, "MAX_ALL_CHARS", 4000)
+    rows = [(k, "abc " * 1000, "long", None) for k in range(5)] + [(10 + k, "def " * (1000 if k < 3 else 20), "mixed", None) for k in range(30)]
+    got = langid.sample(table_of(spark, rows), "doc_id", "text", "lang", 50).collect()
+    sizes = {g: sorted(len(r["text"]) for r in got if r["lang"] == g) for g in ("long", "mixed")}
+    assert sizes["long"] == [2000] and set(sizes["mixed"]) == {80} and len(sizes["mixed"]) == 25
+
+
+def test_names_that_clash(spark, odd):
+    models = langid.train(odd)
+    rows = odd.withColumn("accepted", F.lit("x")).withColumn("score", F.lit(1))
+    with pytest.raises(ValueError):
+        langid.identify(rows, models, keep=("accepted", "score"))
+    got = langid.identify(rows, models, keep=("accepted", "score"), names=("l", "s", "e", "a"))
+    assert got.columns == ["accepted", "score", "l", "s", "e", "a"] and got.count() == odd.count()
+
+
 def test_languages_of_odd_rows(odd, none):
     models = langid.train(odd)
     assert models.languages == ["aa", "bb"]
@@ -641,6 +672,20 @@ def test_pipeline(spark):
     assert got == Counter({i: n for i, n in times.items() if n})
 
 
+def test_language_stage_of_odd_rows(spark, odd, none):
+    import corpus_pipeline as cp
+
+    name, stage = cp.STAGES[0]
+    rows = odd
+    for extra in langid.OUT:
+        rows = rows.withColumn(extra, F.lit("x"))
+    got = stage(spark, rows, SF)
+    assert name == "language ID" and got.columns == rows.columns
+    kept = Counter(r["doc_id"] for r in got.collect())
+    assert kept and not set(kept) & {100, 101, 102}
+    assert stage(spark, none, SF).count() == 0
+
+
 def test_stages_of_odd_rows(spark, odd, none):
     import corpus_pipeline as cp
 

@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Each language has a model over runs of one to five characters, where letters are lower-cased and whatever lies between
-letters is one space. A model is fitted on a bounded sample of labelled documents. Its n-grams are stored by order in
+Each language has a model over runs of one to five characters, where letters are lower-cased, combining marks belong to
+their letters, and whatever lies between is one space. A model is fitted on a bounded sample of labelled documents. Its n-grams are stored by order in
 sorted arrays of 64-bit hashes; the arrays of all languages are then merged, so that one lookup gives the interpolated
 log probability in every language. A document gets the language of the lowest cross-entropy per character. It is
 accepted if that entropy is within what held-back documents of the language show at its length.
@@ -9,7 +9,7 @@ accepted if that entropy is within what held-back documents of the language show
 
 from __future__ import annotations
 
-import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,17 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import as_text, spare, table
+from vectide.llm.common import as_text, join_small, spare, stored, table
 from vectide.llm.words import HashTable
 
 ORDER = 5
-#: The bound of the fitting sample: documents and characters of a language, and characters of all languages together.
-MAX_DOCS, MAX_CHARS, MAX_ALL_CHARS = 1000, 2_000_000, 16_000_000
-#: The most languages that are learned, the most frequent ones.
-MAX_LANGUAGES = 500
+#: The bound of the fitting sample: documents and characters of a language, and characters of all languages together,
+#: which share them evenly. A text of more than a PART-th of its language's share is left to those that fit.
+MAX_DOCS, MAX_CHARS, MAX_ALL_CHARS, PART = 1000, 2_000_000, 16_000_000, 8
 #: A tenth of the sample is held back for calibration. A document is rejected if it is MARGIN nats worse than the centre of
-#: these and so many times the spread that all but a thousandth of them show at its length, up to LONG characters.
-HELD_BACK, SLACK, LONG, MARGIN = 10, 3.0, 400, 1.0
+#: its language and what all but a hundredth of the held-back texts of all languages show at its length, up to LONG characters.
+HELD_BACK, SURE, LONG, MARGIN = 10, 0.99, 400, 0.4
 UNKNOWN = "und"
 
 _STEP = 0xD1342543DE82EF95
@@ -36,20 +35,23 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point its lower-case letter or 0, and for each such value a random 64-bit value."""
+    """For each code point its lower-case letter, itself if it is a combining mark, or 0; and for each such value a random 64-bit value."""
     if not _tables:
         low = np.zeros(0x110000, dtype=np.uint32)
         for c in range(0x110000):
             x = chr(c)
             if x.isalpha():
                 low[c] = ord(x.lower()[0])
+            elif unicodedata.category(x)[0] == "M":
+                low[c] = c
         _tables["low"] = low
+        _tables["alpha"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
         _tables["value"] = np.random.default_rng(77).integers(1, 2**63, 0x110000, dtype=np.uint64)
     return _tables["low"], _tables["value"]
 
 
 class Chars:
-    """Texts as padded rows of characters: codes, doc (of each code), pad (True before a text), n (characters of each text)."""
+    """Texts as padded rows of characters: codes, doc (of each code), pad (True before a text), n (characters of each text, 0 for one without a letter)."""
 
     def __init__(self, texts: list[str]):
         low, _ = _letters()
@@ -60,6 +62,7 @@ class Chars:
         keep = (codes > 0) | (before > 0)
         codes, doc = codes[keep], doc[keep]
         self.n = np.bincount(doc, minlength=len(texts))
+        self.lettered = np.bincount(doc, weights=_tables["alpha"][codes], minlength=len(texts)) > 0
         at = np.arange(len(codes)) + (ORDER - 1) * (doc + 1)
         size = len(codes) + (ORDER - 1) * len(texts)
         self.codes, self.pad = np.zeros(size, dtype=np.uint32), np.ones(size, dtype=bool)
@@ -150,7 +153,7 @@ class Models:
             self.contexts.append(HashTable(ctx))
             self.logw.append(np.log(weight).astype(np.float32))
         self.chunk = max(1 << 14, (1 << 21) // n)
-        self.centre, self.spread, self.heat = np.zeros(n), np.full(n, np.inf), 10.0
+        self.centre, self.spread, self.heat = np.zeros(n), np.inf, 10.0
 
     def place_scores(self, hashes: list[np.ndarray]) -> np.ndarray:
         """The log probability of the character at each place in each language."""
@@ -182,25 +185,28 @@ class Models:
             sums[a : a + self.chunk] = self.place_scores([h[lo : a + self.chunk] for h in hashes])[a - lo :]
         sums[chars.pad] = 0
         total = np.add.reduceat(sums, chars.first, axis=0, dtype=np.float64) if size else np.zeros((0, len(self.languages)))
-        return -total / np.maximum(chars.n, 1)[:, None], chars.n
+        return -total / np.maximum(chars.n, 1)[:, None], np.where(chars.lettered, chars.n, 0)
 
     def calibrate(self, texts: list[str], labels: np.ndarray) -> None:
-        """Centre and spread of each language's own entropy, and the heat that makes the scores of held-back texts likeliest."""
+        """The centre of each language's own entropy, the spread about it, and the heat that makes the scores of held-back texts likeliest."""
         h, n = self.entropies(texts)
         ok = n > 0
         h, n, labels = h[ok], n[ok], labels[ok]
+        if not len(h):
+            return
         for j in range(len(self.languages)):
             own = h[labels == j, j]
             if len(own):
                 self.centre[j] = np.median(own)
-                r = np.abs(own - self.centre[j]) * np.sqrt(np.minimum(n[labels == j], LONG))
-                self.spread[j] = SLACK * max(np.quantile(r, 0.999), 1.0)
-        if len(h):
-            def loss(heat: float) -> float:
-                x = -heat * h
-                x -= x.max(axis=1, keepdims=True)
-                return float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(x)), labels]))
-            self.heat = min((2.0**k for k in range(-1, 7)), key=loss)
+        off = np.abs(h[np.arange(len(h)), labels] - self.centre[labels]) * np.sqrt(np.minimum(n, LONG))
+        self.spread = max(float(np.quantile(off, SURE)), 1.0)
+
+        def loss(heat: float) -> float:
+            x = -heat * h
+            x -= x.max(axis=1, keepdims=True)
+            return float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(x)), labels]))
+
+        self.heat = min((2.0**k for k in range(-1, 7)), key=loss)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, entropy and acceptance of each text."""
@@ -209,40 +215,50 @@ class Models:
         low = h[np.arange(len(h)), best]
         score = 1 / np.exp(np.maximum(-self.heat * (h - low[:, None]), -700)).sum(axis=1)
         some = n > 0
-        limit = self.centre[best] + MARGIN + self.spread[best] / np.sqrt(np.clip(n, 1, LONG))
+        limit = self.centre[best] + MARGIN + self.spread / np.sqrt(np.clip(n, 1, LONG))
         langs = [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
         return langs, np.where(some, score, 0.0), np.where(some, low, 0.0), some & (low <= limit)
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> DataFrame:
-    """lang, text, k of at most max_docs documents a language, at most MAX_CHARS characters each.
+    """lang, text, k of at most max_docs documents a language and of its share of MAX_ALL_CHARS characters, at most MAX_CHARS.
 
     Documents are counted by language and those whose hash is in a share of its range are taken, a quarter more than
-    needed on average; of these the first by hash remain, so that no task numbers more than a sample.
+    needed on average; of these the first by hash remain, so that no task numbers more than a sample. A language whose
+    texts are all longer than a PART-th of its share is learned from the beginning of its shortest one.
+    """
+    hashed = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)
+    rows = docs.select(hashed.alias("at"), F.col(lang_col).alias("lang"), as_text(text_col).alias("text")).where(F.col("lang").isNotNull())
+    languages = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    room = min(MAX_CHARS, max(1, MAX_ALL_CHARS // max(1, languages.count())))
+    length = F.length("text")
+    fits = rows.where(length <= room // PART)
+    counts = stored(fits.groupBy("lang").agg(F.count("*").alias("n")), "lang-fits")
+    few = join_small(fits, counts.select("lang", (F.lit(1.25 * max_docs) / F.col("n")).alias("share")), "lang", F.xxhash64("at"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    few = few.where("at <= share").withColumn("k", first).where(f"k <= {max_docs}")
+    upto = F.sum(length).over(Window.partitionBy("lang").orderBy("k"))
+    few = few.withColumn("upto", upto).where(F.col("upto") <= room).select("lang", "text", "k")
+    rest = rows.join(F.broadcast(counts.select("lang")) if counts.count() <= MAX_DOCS else counts.select("lang").hint("merge"), "lang", "left_anti")
+    cut = F.min(F.struct(length.alias("size"), F.substring("text", 1, room).alias("text")))
+    return few.unionByName(rest.groupBy("lang").agg(cut.alias("cut")).select("lang", "cut.text", F.lit(1).alias("k")))
+
+
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS
+) -> Models | None:
+    """Models of the non-null languages of docs, from a bounded sample; None if no document has a language.
+
+    A null text counts as empty. Repeated rows may be in the sample more than once; rows whose ids hash alike are taken
+    in order of their texts. Other columns may have any names.
     """
-    rows = docs.select((F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)).alias("at"), F.col(lang_col).alias("lang"), as_text(text_col).alias("text"))
-    rows = rows.where(F.col("lang").isNotNull())
-    share = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    share = share.select("lang", (F.lit(1.25 * max_docs) / F.col("count")).alias("share"))
-    few = rows.join(F.broadcast(share), "lang").where((F.col("at") <= F.col("share")) & (F.length("text") <= MAX_CHARS))
-    return few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(f"k <= {max_docs}").select("lang", "text", "k")
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Models | None:
-    """Models of the non-null languages of docs, from a bounded sample; None if no document has a language."""
-    rows = sample(docs, id_col, text_col, lang_col, max_docs)
-    upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("k"))
-    rows = rows.withColumn("upto", upto).where((F.col("upto") <= MAX_CHARS) | (F.col("k") == 1))
-    got = rows.select("lang", "k", "text").toArrow().to_pandas().sort_values(["lang", "k"])
+    got = sample(docs, id_col, text_col, lang_col, max_docs).toArrow().to_pandas().sort_values(["lang", "k"])
     languages = sorted(got["lang"].unique())
     if not languages:
         return None
-    room = MAX_ALL_CHARS // len(languages)
     models, held, labels = [], [], []
     for j, lang in enumerate(languages):
         texts = list(got["text"][got["lang"] == lang])
-        size = np.cumsum([len(t) for t in texts])
-        texts = [t for t, s in zip(texts, size, strict=True) if s <= room] or texts[:1]
         back = texts[::HELD_BACK] if len(texts) > 1 else texts
         models.append(fit([t for k, t in enumerate(texts) if k % HELD_BACK or len(texts) == 1]))
         held += back
@@ -252,21 +268,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return out
 
 
-_SCHEMA = "lang_pred string, score double, entropy double, accepted boolean"
+OUT = ("lang_pred", "score", "entropy", "accepted")
 
 
-def identify(docs: DataFrame, models: Models | None, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep columns and lang_pred, score, entropy, accepted of each row.
+def identify(
+    docs: DataFrame, models: Models | None, text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, ...] = OUT
+) -> DataFrame:
+    """keep columns and lang_pred, score, entropy, accepted of each row, or these four by other names.
 
     A null text or one without a letter is ``und`` with score 0 and not accepted; so is every text if no language was
-    learned. Very long texts are read whole. An empty table gives no rows. Other input columns may have any names.
+    learned. Of languages that fit equally the first by name counts. Repeated rows give equal rows. Very long texts are
+    read whole. An empty table gives no rows. Other input columns may have any names; a kept column with the name of an
+    output is an error, which other names avoid.
     """
     from pyspark.sql.types import StructType
 
+    if set(names) & set(keep):
+        raise ValueError(f"kept columns have the names of outputs: {sorted(set(names) & set(keep))}")
     own = text_col if text_col in keep else spare("_text", keep)
     rows = docs.select(*keep) if own == text_col else docs.select(*keep, as_text(text_col).alias(own))
     schema = StructType(docs.select(*keep).schema.fields[:])
-    for name, kind in (x.split() for x in _SCHEMA.split(", ")):
+    for name, kind in zip(names, ("string", "double", "double", "boolean"), strict=True):
         schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
