@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.functions import vectors as vf
+
 _KINDS = {"float": ("<f4", T.FloatType()), "int": ("<i4", T.IntegerType()), "short": ("<i2", T.ShortType())}
 
 
@@ -33,6 +35,38 @@ def read_bytes(data: Column | str, kind: str = "float") -> Column:
     return unpack(data)
 
 
+# The vector functions on packed floats: unpacked, computed in DOUBLE, and packed again where a vector comes out.
+
+
+def cosine_similarity_bytes(a: Column | str, b: Column | str) -> Column:
+    return vf.cosine_similarity(read_bytes(a), read_bytes(b))
+
+
+def vec_minus_bytes(a: Column | str, b: Column | str) -> Column:
+    return vec_to_bytes(vf.vec_minus(read_bytes(a), read_bytes(b)))
+
+
+def vec_plus_bytes(a: Column | str, b: Column | str) -> Column:
+    return vec_to_bytes(vf.vec_plus(read_bytes(a), read_bytes(b)))
+
+
+def vec_normalize_bytes(a: Column | str) -> Column:
+    """In one function, as Spark takes no Python function inside the lambda of vec_normalize; a vector of length 0 stays."""
+
+    @F.pandas_udf(T.BinaryType())
+    def unit(v: pd.Series) -> pd.Series:
+        rows = v.map(lambda x: None if x is None else np.frombuffer(x, "<f4").astype(np.float64))
+        return rows.map(lambda x: None if x is None else (x / (np.linalg.norm(x) or 1.0)).astype("<f4").tobytes())
+
+    return unit(a)
+
+
+def grouped_centroid_bytes(rows: DataFrame, keys: list[str], data: str, dims: int, out: str = "vector") -> DataFrame:
+    """The mean of each group's packed vectors, packed."""
+    means = vf.grouped_centroid(rows.select(*keys, read_bytes(data).alias("_v")), keys, "_v", dims, "_mean")
+    return means.select(*keys, vec_to_bytes("_mean").alias(out))
+
+
 def _kind(kind: str):
     if kind not in _KINDS:
         raise ValueError(f"elements are {', '.join(_KINDS)}, not {kind}")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import FINE, grouped_centroid
 from vectide.operators.knn import best_of, knn_pairs, matrix, within
-from vectide.operators.pq import pq_batch
+from vectide.operators.pq import pq_nearest
 
 
 def groups(vectors: DataFrame, tokens: DataFrame, names: DataFrame) -> DataFrame:
@@ -24,11 +24,9 @@ def groups(vectors: DataFrame, tokens: DataFrame, names: DataFrame) -> DataFrame
 def groups_pq(vectors: DataFrame, codes: DataFrame, codebook: DataFrame, tokens: DataFrame, names: DataFrame, m: int, k: int, dims: int) -> DataFrame:
     """token, grouptoken by the distance of tokens' codes to the group words' vectors. Group words are the few and serve as queries."""
     named = within(vectors, names).select(F.col("id").alias("qid"), F.col("word").alias("grouptoken"), "vector")
-    size = within(codes, tokens).count()
-    near = pq_batch(codes, codebook, named, max(1, size), m, k, dims, tokens)
-    best = F.row_number().over(Window.partitionBy("id").orderBy("distance", "qid"))
-    near = near.withColumn("_r", best).where("_r = 1")
-    return near.join(F.broadcast(named.select("qid", "grouptoken")), "qid").select(F.col("word").alias("token"), "grouptoken")
+    own = within(codes, tokens)
+    near = pq_nearest(own, codebook, named, m, k, dims).join(named.select("qid", "grouptoken"), "qid")
+    return own.select("id", F.col("word").alias("token")).join(near, "id").select("token", "grouptoken")
 
 
 def cluster(vectors: DataFrame, tokens: DataFrame, k: int, dims: int, seeds: list[int] | None = None, rounds: int = 10, nearest: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -42,6 +40,8 @@ def cluster(vectors: DataFrame, tokens: DataFrame, k: int, dims: int, seeds: lis
     if seeds is None:
         seeds = [r[0] for r in own.select("id").orderBy(F.xxhash64("id"), "id").limit(k).collect()]
     centre = {r[0]: r[1] for r in own.where(F.col("id").isin(seeds)).select("id", "vector").collect()}
+    if missing := [i for i in seeds if i not in centre]:
+        raise ValueError(f"no such tokens: {missing}")
     centroids = [[float(x) for x in centre[i]] for i in seeds]
     nearest = nearest or nearest_exact
     spark = vectors.sparkSession

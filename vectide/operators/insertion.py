@@ -24,11 +24,15 @@ class Indexes:
     m: int
     k_multi: int
     dims: int
+    original: DataFrame | None = None
 
 
 @dataclass
 class Inserted:
+    """Rows to append, and codebooks that replace the old ones. The multi-index shares the codebook of whole vectors, so its move is that one's; its coarse halves stay, as a cell's number must keep its meaning."""
+
     vectors: DataFrame
+    original: DataFrame | None
     codes: DataFrame
     residual_codes: DataFrame
     multi_codes: DataFrame
@@ -55,7 +59,12 @@ def insert_batch(base: Indexes, terms: DataFrame) -> Inserted:
     rest = assign(added, base.coarse, ("id", "word"))
     residual = encode(rest, base.residual_codebook, ("id", "word", "coarse_id"))
     multi = ivpq.build(added, base.multi, base.codebook, base.k_multi)
-    return Inserted(added, codes, residual, multi, updated(base.codebook, added, codes, base), updated(base.residual_codebook, rest, residual, base))
+    original = None
+    if base.original is not None:
+        form = F.replace("term", F.lit(" "), F.lit("_")).alias("new")
+        raw = tokenize(terms.select("term", form).dropDuplicates(["new"]), base.original, base.dims, False, "new", "term")
+        original = added.select("id", "word").join(raw.withColumnRenamed("new", "word"), "word").select("id", "word", "vector")
+    return Inserted(added, original, codes, residual, multi, updated(base.codebook, added, codes, base), updated(base.residual_codebook, rest, residual, base))
 
 
 def updated(codebook: DataFrame, vectors: DataFrame, codes: DataFrame, base: Indexes) -> DataFrame:

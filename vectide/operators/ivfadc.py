@@ -35,9 +35,12 @@ def cell_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("coarse_id").count()
 
 
-def ivfadc_search(index: DataFrame, coarse: DataFrame, residual_codebook: DataFrame, queries: DataFrame, n: int, m: int, k: int, dims: int, w: int) -> DataFrame:
-    """qid, id, word, distance of the n nearest to each query; with w = 1 one cell a round, as the batch form has it."""
-    cells = visited(queries, coarse, cell_counts(index), n, w)
+def ivfadc_search(index: DataFrame, coarse: DataFrame, residual_codebook: DataFrame, queries: DataFrame, n: int, m: int, k: int, dims: int, w: int, counts: DataFrame | None = None) -> DataFrame:
+    """qid, id, word, distance of the n nearest to each query; with w = 1 one cell a round, as the batch form has it.
+
+    counts (coarse_id, count) of a stored index spare a pass over it, so that only the cells looked into are read.
+    """
+    cells = visited(queries, coarse, counts if counts is not None else cell_counts(index), n, w)
     keyed = cells.withColumn("key", F.struct("qid", "coarse_id"))
     luts = lookup_tables(keyed.select("key", "vector"), residual_codebook, m, dims, "key").select(F.col("key.qid"), F.col("key.coarse_id"), "lut")
     near = index.join(luts, "coarse_id").select("qid", "id", "word", distance("lut", "codes", k).alias("distance"))

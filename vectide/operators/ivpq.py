@@ -64,8 +64,20 @@ def cell_order(queries: DataFrame, multi: DataFrame, k: int, dims: int) -> DataF
     return cells.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d", "coarse_id")))
 
 
+def flat_cell_order(queries: DataFrame, coarse: DataFrame) -> DataFrame:
+    """cell_order for the cells of a coarse quantizer (coarse_id, vector)."""
+    each = queries.select("qid", F.col("vector").alias("q")).crossJoin(F.broadcast(coarse.select("coarse_id", F.col("vector").alias("centre"))))
+    cells = each.select("qid", "coarse_id", F.round(squared_distance("q", "centre"), FINE).alias("d"))
+    return cells.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d", "coarse_id")))
+
+
 def chosen_cells(queries: DataFrame, multi: DataFrame, stats: DataFrame, targets: DataFrame, n: int, k: int, dims: int, alpha: int, wanted_confidence: float, use_targetlist: bool = True) -> DataFrame:
-    """qid, coarse_id: the cells that each query looks into, after all repetitions it needs.
+    """chosen of the multi-index's cells."""
+    return chosen(cell_order(queries, multi, k, dims), stats, targets, n, alpha, wanted_confidence, use_targetlist)
+
+
+def chosen(order: DataFrame, stats: DataFrame, targets: DataFrame, n: int, alpha: int, wanted_confidence: float, use_targetlist: bool = True) -> DataFrame:
+    """qid, coarse_id: the cells (in order) that each query looks into, after all repetitions it needs.
 
     A query without a target list is repeated until its cells hold n targets, one with a list until they hold alpha * n
     of the round. targets is (id, coarse_id).
@@ -76,7 +88,7 @@ def chosen_cells(queries: DataFrame, multi: DataFrame, stats: DataFrame, targets
     rounds = max(0, math.ceil(math.log2(max(1, size) / max(1, n * alpha)))) + 1
     upto = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cell_order(queries, multi, k, dims).join(F.broadcast(stats.select("coarse_id", "coarse_freq")), "coarse_id").join(F.broadcast(counts), "coarse_id", "left")
+    cells = order.join(F.broadcast(stats.select("coarse_id", "coarse_freq")), "coarse_id").join(F.broadcast(counts), "coarse_id", "left")
     cells = cells.withColumn("share", F.round(F.coalesce(F.sum("coarse_freq").over(before), F.lit(0.0)), FINE)).withColumn("held", F.sum(F.coalesce("count", F.lit(0))).over(upto))
     each = cells.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds)))).withColumn("wanted", F.lit(float(n * alpha)) * F.pow(F.lit(2.0), F.col("round")))
     each = each.where(F.round(confidence(F.col("wanted"), size, F.col("share"), total), FINE) < wanted_confidence)

@@ -140,12 +140,36 @@ def knn_in_ids(spark, sf):
     return model(spark, sf).knn_in("w1", N, targets(spark, sf).select("id"))
 
 
+FIXED = [1.0 if j % 2 else -1.0 for j in range(DIMS)]
+
+
 def knn_in_vectors(spark, sf):
-    """The vectors of each label are an array; its nearest to a fixed query by position."""
+    """The vectors of label 3 are an array; its nearest to a fixed query by position."""
     rows = table(spark, sf, "embeddings").where("label = 3").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
     return knn.knn_in_vectors(rows, [1.0 if j % 2 else -1.0 for j in range(DIMS)], N).select(F.col("id").cast("long").alias("id"), "similarity")
 
 
+def knn_in_vector_arrays(spark, sf):
+    """All vectors as arrays of at most 50; the nearest to a fixed query by position of each array."""
+    rows = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 50).alias("part"))
+    rows = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
+    near = knn.knn_in_vector_rows(rows, FIXED, 2, ["part"])
+    return near.select("part", F.col("id").cast("long").alias("id"), "similarity")
+
+
+def knn_in_vector_words(spark, sf):
+    return model(spark, sf).knn_in(FIXED, N, targets(spark, sf).select("word"))
+
+
+def knn_in_vector_ids(spark, sf):
+    return model(spark, sf).knn_in(FIXED, N, targets(spark, sf).select("id"))
+
+
+def knn_batch_vectors_in(spark, sf):
+    m = model(spark, sf)
+    return knn.knn_join_vectors(m.vectors, m.vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector"), N, targets(spark, sf).select("id"))
+
+
 def knn_join_exact(spark, sf):
     m = model(spark, sf)
     return m.knn_join(query_words(m), N, targets(spark, sf).select("word"))
@@ -301,6 +325,35 @@ def pq_verified(spark, sf):
     return indexed(spark, sf).knn("w1", N, "pq_verified", PVF)
 
 
+def _unit(spark, sf):
+    """A query vector of length 1 that is no word's."""
+    return [x / DIMS**0.5 for x in FIXED]
+
+
+def knn_pq_vector(spark, sf):
+    return indexed(spark, sf).knn(_unit(spark, sf), N, "pq")
+
+
+def knn_in_pq_vector_words(spark, sf):
+    return indexed(spark, sf).knn_in(_unit(spark, sf), N, targets(spark, sf).select("word"), "pq")
+
+
+def knn_in_pq_vector_ids(spark, sf):
+    return indexed(spark, sf).knn_in(_unit(spark, sf), N, targets(spark, sf).select("id"), "pq")
+
+
+def pq_verified_vector(spark, sf):
+    return indexed(spark, sf).knn(_unit(spark, sf), N, "pq_verified", PVF)
+
+
+def ivfadc_vector(spark, sf):
+    return indexed(spark, sf).knn(_unit(spark, sf), N, "ivfadc")
+
+
+def ivfadc_verified_vector(spark, sf):
+    return indexed(spark, sf).knn(_unit(spark, sf), N, "ivfadc_verified", PVF)
+
+
 # inverted lists
 
 
@@ -349,6 +402,22 @@ def ivpq_chosen_cells(spark, sf):
     return ivpq.chosen_cells(m.words(query_words(m)), m.multi, m.statistics(), among.select("id", "coarse_id"), N, K_MULTI, DIMS, ALPHA, CONFIDENCE, False)
 
 
+def flat_chosen_cells(spark, sf):
+    """The cells of the coarse quantizer that each query looks into by confidence, with target lists."""
+    m = indexed(spark, sf)
+    every = ivpq.cell_counts(m.residual_codes, 10)
+    total = F.lit(m.vectors.count())
+    stats = every.select("coarse_id", (F.col("count") / total).alias("coarse_freq"), total.alias("total"))
+    among = knn.within(m.residual_codes, targets(spark, sf).select("id")).select("id", "coarse_id")
+    return ivpq.chosen(ivpq.flat_cell_order(m.words(query_words(m)), m.coarse), stats, among, N, ALPHA, CONFIDENCE)
+
+
+def ivpq_targets_seen(spark, sf):
+    m = indexed(spark, sf)
+    among = knn.within(m.multi_codes, targets(spark, sf).select("id")).select("id", "coarse_id")
+    return evaluation.targets_seen(ivpq_chosen_cells(spark, sf), among)
+
+
 def knn_in_ivpq(spark, sf):
     return indexed(spark, sf).knn_in("w1", N, targets(spark, sf).select("word"), "ivpq")
 
@@ -383,6 +452,79 @@ def precision_at_k(spark, sf):
     return evaluation.precision_at_k(m.pairs("pq", known, N), m.pairs("exact", known, N), N)
 
 
+def _precision(how, n=N):
+    def run(spark, sf):
+        m = indexed(spark, sf)
+        known = m.words(query_words(m))
+        return evaluation.precision_at_k(m.pairs(how, known, N, None, PVF), m.pairs("exact", known, N), N)
+
+    return run
+
+
+def similarity_quantiles(spark, sf):
+    return evaluation.similarity_quantiles(knn_join_all(spark, sf))
+
+
+def insert_batch_original(spark, sf):
+    return numbers(_inserted(spark, sf).original, "id", "word")
+
+
+def insert_snapshot(spark, sf):
+    """How many rows each cell of a new snapshot holds, by index."""
+    m = indexed(spark, sf)
+    terms = m.vectors.select(F.concat(F.lit("w"), "id", F.lit(" w"), F.col("id") + 1).alias("term"))
+    new = m.insert(terms, f"{source.shared_folder(spark)}/vectide-snapshot-{uuid.uuid4().hex}")
+    rows = new.residual_counts.select(F.lit("residual").alias("index"), "coarse_id", "count")
+    multi = ivpq.cell_counts(new.multi_codes, K_MULTI**2).where("count > 0")
+    return rows.unionByName(multi.select(F.lit("multi").alias("index"), "coarse_id", "count"))
+
+
+def codec_integers(spark, sf):
+    """Elements as integers, packed by 4 and by 2 bytes and read back."""
+    whole = model(spark, sf).vectors.select("id", F.transform("vector", lambda x: F.round(x.cast("double") * 1024)).alias("v"))
+    rows = whole.select("id", F.col("v").cast("array<int>").alias("int"), F.col("v").cast("array<smallint>").alias("short"))
+    packed = rows.select("id", *[codecs.vec_to_bytes(k, k).alias(k) for k in ("int", "short")])
+    back = packed.select("id", F.length("int").alias("n_int"), F.length("short").alias("n_short"), codecs.read_bytes("int", "int").alias("i"), codecs.read_bytes("short", "short").alias("s"))
+    return back.select("id", "n_int", "n_short", F.posexplode(F.zip_with("i", "s", lambda a, b: a.cast("double") + b.cast("double"))).alias("pos", "val"))
+
+
+def _packed_pairs(spark, sf):
+    """Each vector and its successor as whole numbers, packed."""
+    v = model(spark, sf).vectors.select("id", F.transform("vector", lambda x: F.round(x.cast("double") * 1024).cast("float")).alias("v"))
+    after = v.select((F.col("id") - 1).alias("id"), codecs.vec_to_bytes("v").alias("b"))
+    return v.select("id", codecs.vec_to_bytes("v").alias("a")).join(after, "id")
+
+
+def bytes_similarity(spark, sf):
+    return _packed_pairs(spark, sf).select("id", F.round(codecs.cosine_similarity_bytes("a", "b"), 6).alias("sim"))
+
+
+def bytes_arithmetic(spark, sf):
+    rows = _packed_pairs(spark, sf).select("id", codecs.vec_minus_bytes("a", "b").alias("less"), codecs.vec_plus_bytes("a", "b").alias("more"))
+    both = F.arrays_zip(codecs.read_bytes("less").alias("less"), codecs.read_bytes("more").alias("more"))
+    rows = rows.select("id", F.posexplode(both).alias("pos", "x"))
+    return rows.select("id", "pos", F.col("x.less").cast("double").alias("less"), F.col("x.more").cast("double").alias("more"))
+
+
+def bytes_normalize(spark, sf):
+    rows = _packed_pairs(spark, sf).select("id", codecs.read_bytes(codecs.vec_normalize_bytes("a")).alias("v"))
+    return rows.select("id", F.round(vf.norm("v"), 5).alias("norm"), F.round(F.col("v")[0].cast("double"), 4).alias("first"))
+
+
+def bytes_centroid(spark, sf):
+    rows = table(spark, sf, "embeddings").select("label", codecs.vec_to_bytes(F.transform("embedding", lambda x: F.round(x.cast("double") * 1024).cast("float"))).alias("b"))
+    got = codecs.grouped_centroid_bytes(rows, ["label"], "b", DIMS)
+    return got.select("label", F.posexplode(codecs.read_bytes("vector")).alias("pos", "val")).select("label", "pos", F.round(F.col("val").cast("double"), 2).alias("val"))
+
+
+def text_vectors(spark, sf):
+    """Vectors written as a text file with a header and read back."""
+    m, path = model(spark, sf), f"{source.shared_folder(spark)}/vectide-text-{uuid.uuid4().hex}"
+    source.write_text(m.vectors, path)
+    source.write_header(m.vectors, path, DIMS)
+    return numbers(source.read_text(spark, path, normalize=False), "word")
+
+
 def kmeans_trained(spark, sf):
     """Codes by trained codebooks; no SQL form."""
     m = model(spark, sf)
@@ -409,7 +551,12 @@ QUERIES = {f.__name__: f for f in (
     ivfadc_encode, ivfadc_search, ivfadc_batch, ivfadc_verified,
     ivpq_cells, create_statistics, ivpq_chosen_cells, knn_in_ivpq,
     insert_batch_words, insert_batch_codes, insert_batch_codebook, precision_at_k, kmeans_trained, settings_front,
+    knn_in_vector_arrays, knn_in_vector_words, knn_in_vector_ids, knn_batch_vectors_in,
+    knn_pq_vector, knn_in_pq_vector_words, knn_in_pq_vector_ids, pq_verified_vector, ivfadc_vector, ivfadc_verified_vector,
+    flat_chosen_cells, ivpq_targets_seen, similarity_quantiles, insert_batch_original, insert_snapshot,
+    codec_integers, bytes_similarity, bytes_arithmetic, bytes_normalize, bytes_centroid, text_vectors,
 )} | {
+    "precision_ivfadc": _precision("ivfadc"), "precision_pq_verified": _precision("pq_verified"),
     "analogy_3cosadd": _analogy("3cosadd"), "analogy_3cosmul": _analogy("3cosmul"), "analogy_pair_direction": _analogy("pair_direction"), "analogy_3cosadd_in": _analogy("3cosadd", True),
     "ivpq_join_pq": _ivpq(ivpq.PQ), "ivpq_join_exact": _ivpq(ivpq.EXACT), "ivpq_join_verified": _ivpq(ivpq.VERIFIED),
 }

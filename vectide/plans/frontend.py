@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from vectide.functions import settings
 from vectide.operators import analogy as analogies
 from vectide.operators import codebooks, grouping, ivfadc, ivpq, knn, pq
-from vectide.operators.insertion import Indexes
+from vectide.operators.insertion import Indexes, insert_batch
 from vectide.sources import vectors as source
 
+#: What a saved model holds: tables, inverted lists by cell, and what is known of their cells.
+TABLES = ("vectors", "original", "coarse", "codebook", "residual_codebook", "multi", "codes")
+LISTS = ("residual_codes", "multi_codes")
+COUNTS = ("residual_counts", "word_statistics")
+
 
 @dataclass
 class Model:
@@ -56,24 +61,48 @@ class Model:
     def multi_codes(self) -> DataFrame:
         return ivpq.build(self.vectors, self.multi, self.codebook, self.k_multi)
 
+    @cached_property
+    def residual_counts(self) -> DataFrame:
+        return ivfadc.cell_counts(self.residual_codes)
+
+    @cached_property
+    def word_statistics(self) -> DataFrame:
+        return ivpq.create_statistics(self.vectors.select("word"), self.multi_codes, self.k_multi**2)
+
     def save(self, path: str) -> Model:
-        """Write codebooks and indexes below a path, inverted lists by cell, and return the model that reads them."""
-        for name in ("codebook", "residual_codebook", "multi", "coarse", "codes"):
+        """Write vectors, codebooks, indexes, and the counts and statistics of their cells below a path, inverted lists by cell, and return the model that reads them."""
+        for name in TABLES:
             source.save_table(getattr(self, name), f"{path}/{name}")
-        for name in ("residual_codes", "multi_codes"):
+        for name in LISTS:
             source.save_index(getattr(self, name), f"{path}/{name}")
+        stored = self.load(path, TABLES + LISTS)
+        for name in COUNTS:
+            source.save_table(getattr(stored, name), f"{path}/{name}")
         return self.load(path)
 
-    def load(self, path: str) -> Model:
+    def load(self, path: str, names: tuple[str, ...] = ()) -> Model:
         """The model with the tables that save has written."""
-        out = replace(self, coarse=source.load(self.spark, f"{path}/coarse"))
-        for name in ("codebook", "residual_codebook", "multi", "codes", "residual_codes", "multi_codes"):
-            out.__dict__[name] = source.load(self.spark, f"{path}/{name}")
+        names = names or TABLES + LISTS + COUNTS
+        own = {f: source.load(self.spark, f"{path}/{f}") for f in ("vectors", "original", "coarse")}
+        out = replace(self, **own)
+        for name in names:
+            if name not in own:
+                out.__dict__[name] = source.load(self.spark, f"{path}/{name}")
         return out
 
+    def insert(self, terms: DataFrame, path: str) -> Model:
+        """Write a new snapshot with a batch of terms below another path: rows appended, codebooks moved, counts and statistics anew. The old one stays as it is until its readers have gone."""
+        got = insert_batch(self.indexes, terms)
+        grown = replace(self, vectors=self.vectors.unionByName(got.vectors), original=self.original.unionByName(got.original))
+        for name in ("codes", "residual_codes", "multi_codes"):
+            old, new = getattr(self, name), getattr(got, name)
+            grown.__dict__[name] = old.unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in old.schema]))
+        grown.__dict__.update(codebook=got.codebook, residual_codebook=got.residual_codebook, multi=self.multi)
+        return grown.save(path)
+
     @property
     def indexes(self) -> Indexes:
-        return Indexes(self.vectors, self.codebook, self.coarse, self.residual_codebook, self.multi, self.m, self.k_multi, self.dims)
+        return Indexes(self.vectors, self.codebook, self.coarse, self.residual_codebook, self.multi, self.m, self.k_multi, self.dims, self.original)
 
     # queries as rows (qid, vector)
 
@@ -99,7 +128,7 @@ class Model:
         elif how in ("ivfadc", "ivfadc_verified", "ivfadc_batch"):
             times, w = pvf if how == "ivfadc_verified" else 1, 1 if how == "ivfadc_batch" else get("w")
             index = knn.within(self.residual_codes, targets) if targets is not None else self.residual_codes
-            found = ivfadc.ivfadc_search(index, self.coarse, self.residual_codebook, queries, n * times, *size, w)
+            found = ivfadc.ivfadc_search(index, self.coarse, self.residual_codebook, queries, n * times, *size, w, None if targets is not None else self.residual_counts)
         elif how == "ivpq":
             among = targets if targets is not None else self.vectors.select("id")
             return ivpq.ivpq_join(self.vectors, self.multi_codes, self.multi, self.codebook, self.statistics(), queries, among, n, *size[:2], self.k_multi, self.dims, get("alpha"), pvf, get("method"), get("confidence"), get("use_targetlist"))
@@ -114,7 +143,7 @@ class Model:
         name = settings.get(self.spark, "statistics_table")
         if self.spark.catalog.tableExists(name):
             return self.spark.table(name)
-        return ivpq.create_statistics(self.vectors.select("word"), self.multi_codes, self.k_multi**2)
+        return self.word_statistics
 
     # the functions
 
@@ -164,9 +193,12 @@ class Model:
         nearest = None
         if how != "exact":
 
+            if how not in ("pq", "ivpq"):
+                raise ValueError(f"no implementation {how}")
+            held = knn.within(self.codes, tokens)
+
             def nearest(own: DataFrame, centroids: DataFrame) -> DataFrame:
-                near = self.pairs(how, centroids, own.count(), own.select("id"))
-                best = F.min_by("qid", F.struct((-F.col("similarity")).alias("s"), "qid"))
-                return near.groupBy("id").agg(best.alias("qid"))
+                # every token is assigned, so the cells of a multi-index have nothing to leave out
+                return pq.pq_nearest(held, self.codebook, centroids, self.m, self.k, self.dims).select("id", "qid")
 
         return grouping.cluster(self.vectors, tokens, k, self.dims, seeds, rounds, nearest)

@@ -244,3 +244,58 @@ SQL = {
     "insert_batch_codebook": with_("cb", f"SELECT cb.pos::INT AS pos, cb.code::INT AS code, count(n.id) AS count, dim::INT AS dim, round(CASE WHEN count(n.id) = 0 THEN any_value(c[dim + 1]) ELSE sum(n.v[cb.pos * {SUB} + dim + 1]) / count(n.id) END, 6) AS val FROM cb LEFT JOIN (SELECT ncodes.*, new.v FROM ncodes JOIN new USING (id)) n ON n.pos = cb.pos AND n.code = cb.code, range({SUB}) r(dim) GROUP BY cb.pos, cb.code, dim", **NEW),
     "precision_at_k": with_("codes q", f"SELECT e.qid, count(f.id) / {N}::DOUBLE AS precision FROM ({best('qid, id', sims('q', 'v'), 'qid', 'similarity DESC, id')}) e LEFT JOIN ({best('qid, id', pq_rows('q'), 'qid', 'distance, id')}) f ON f.qid = e.qid AND f.id = e.id GROUP BY e.qid"),
 }
+
+UNIT_FIXED = f"SELECT 0::BIGINT AS qid, '' AS query, {[x / 8 for x in ALL]}::DOUBLE[] AS qv"
+_PQF = best("word, 1 - distance / 2 AS similarity", pq_rows(f"({UNIT_FIXED})"), "", "distance, id")
+_PQF_IN = best("word, 1 - distance / 2 AS similarity", pq_rows(f"({UNIT_FIXED})", "WHERE label < 5"), "", "distance, id")
+_NEAR = "SELECT * FROM near"
+
+
+def _verified(queries: str, found: str) -> str:
+    return best("word, similarity", f"SELECT * FROM ({sims(queries, 'v')}) WHERE id IN ({found})", "", "similarity DESC, id")
+
+
+def _precision(found: str) -> str:
+    exact = best("qid, id", sims("q", "v"), "qid", "similarity DESC, id")
+    return f"SELECT e.qid, count(f.id) / {N}::DOUBLE AS precision FROM ({exact}) e LEFT JOIN ({found}) f ON f.qid = e.qid AND f.id = e.id GROUP BY e.qid"
+
+
+def _flat() -> dict[str, str]:
+    """_ivpq over the cells of the coarse quantizer."""
+    more = _ivpq("q", True)
+    more["mcodes"] = "SELECT c.id, c.coarse_id, v.label FROM cells c JOIN v USING (id)"
+    more["ranked"] = "SELECT qid, coarse_id, row_number() OVER (PARTITION BY qid ORDER BY round(pow(list_distance(qv, c), 2), 9), coarse_id) AS rank FROM q, coarse"
+    del more["halves"]
+    return {"mcodes": more.pop("mcodes"), **more}
+
+
+_WHOLE = "SELECT id, label, list_transform(v, lambda x: round(x * 1024)) AS v FROM v"
+_PAIR = "SELECT x.id, x.v AS a, y.v AS b FROM whole x JOIN whole y ON y.id = x.id + 1"
+_TWO = {"whole": _WHOLE, "pair": _PAIR}
+_CELLS_AFTER = "SELECT id, coarse_id FROM {0} UNION ALL SELECT id, coarse_id FROM {1}"
+
+SQL |= {
+    "knn_in_vector_arrays": with_("v", best("part, id, similarity", f"SELECT id // 50 AS part, id % 50 + 1 AS id, round(list_inner_product(qv, v), 6) AS similarity FROM ({FIXED}), v", "part", "similarity DESC, id", 2)),
+    "knn_in_vector_words": with_("t", best("word, similarity", sims(f"({FIXED})", "t"), "", "similarity DESC, id")),
+    "knn_in_vector_ids": with_("t", best("word, similarity", sims(f"({FIXED})", "t"), "", "similarity DESC, id")),
+    "knn_batch_vectors_in": with_("q t", best("qid AS query, word AS target, similarity", sims("q", "t"), "qid", "similarity DESC, id")),
+    "knn_pq_vector": with_("codes", _PQF),
+    "knn_in_pq_vector_words": with_("codes", _PQF_IN),
+    "knn_in_pq_vector_ids": with_("codes", _PQF_IN),
+    "pq_verified_vector": with_("codes", _verified(f"({UNIT_FIXED})", best("id", pq_rows(f"({UNIT_FIXED})"), "", "distance, id", N * PVF))),
+    "ivfadc_vector": with_("rcodes", best("word, 1 - distance / 2 AS similarity", _NEAR, "", "distance, id"), fq=UNIT_FIXED, **_ivf("fq", N, W)),
+    "ivfadc_verified_vector": with_("rcodes", _verified("fq", best("id", _NEAR, "", "distance, id", N * PVF)), fq=UNIT_FIXED, **_ivf("fq", N * PVF, W)),
+    "flat_chosen_cells": with_("cells q", "SELECT qid, coarse_id FROM chosen", **_flat()),
+    "ivpq_targets_seen": with_("mcodes q", "SELECT qid, coalesce(sum(n), 0)::BIGINT AS seen FROM chosen LEFT JOIN tc USING (coarse_id) GROUP BY qid", **_ivpq("q", False)),
+    "precision_ivfadc": with_("q rcodes", _precision(best("qid, id", _NEAR, "qid", "distance, id")), **_ivf("q", N, W)),
+    "precision_pq_verified": with_("q codes", _precision(best("qid, id", f"SELECT s.* FROM ({sims('q', 'v')}) s JOIN ({best('qid, id', pq_rows('q'), 'qid', 'distance, id', N * PVF)}) USING (qid, id)", "qid", "similarity DESC, id"))),
+    "similarity_quantiles": with_("v", f"SELECT quantile_cont(similarity, 0.2) AS p20, quantile_cont(similarity, 0.5) AS p50, quantile_cont(similarity, 0.8) AS p80 FROM ({best('similarity', sims('(SELECT id AS qid, 0 AS query, v AS qv FROM v)', 'v'), 'qid', 'similarity DESC, id')})"),
+    "insert_batch_original": with_("cb o", numbers("raw", "id, word"), **NEW, raw="SELECT n.id, n.word, CASE WHEN b.id IS NULL THEN a.v ELSE [(a.v[i] + b.v[i]) / 2 for i in range(1, 65)] END AS v FROM o a LEFT JOIN o b ON b.id = a.id + 1 JOIN new n ON n.word = a.word || '_w' || (a.id + 1)"),
+    "insert_snapshot": with_("rcodes mcb cb mcodes", f"SELECT 'residual' AS index, coarse_id, count(*) AS count FROM ({_CELLS_AFTER.format('cells', 'ncells')}) GROUP BY coarse_id UNION ALL SELECT 'multi', coarse_id, count(*) FROM ({_CELLS_AFTER.format('mcodes', 'nmcodes')}) GROUP BY coarse_id", **NEW, **NEW_CELLS),
+    "codec_integers": with_("v", f"SELECT id, 4 * {DIMS} AS n_int, 2 * {DIMS} AS n_short, pos::INT - 1 AS pos, 2 * v[pos] AS val FROM whole, range(1, {DIMS + 1}) r(pos)", whole=_WHOLE),
+    "bytes_similarity": with_("v", "SELECT id, round(list_cosine_similarity(a, b), 6) AS sim FROM pair", **_TWO),
+    "bytes_arithmetic": with_("v", f"SELECT id, pos::INT - 1 AS pos, a[pos] - b[pos] AS less, a[pos] + b[pos] AS more FROM pair, range(1, {DIMS + 1}) r(pos)", **_TWO),
+    "bytes_normalize": with_("v", "SELECT id, 1.0::DOUBLE AS norm, round(a[1] / sqrt(list_inner_product(a, a)), 4) AS first FROM pair", **_TWO),
+    "bytes_centroid": with_("v", "SELECT label, (pos - 1)::INT AS pos, round(avg(v[pos]), 2) AS val FROM whole, range(1, 65) r(pos) GROUP BY label, pos", whole=_WHOLE),
+    "text_vectors": with_("v", numbers("v", "word")),
+}

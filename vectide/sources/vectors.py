@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,24 +36,37 @@ def read_text(spark: SparkSession, path: str, normalize: bool = True) -> DataFra
 
 
 def number_rows(rows: DataFrame, order: str = "id") -> DataFrame:
-    """rows with dense ids from 0 in their order, by counts of range partitions and no single task."""
+    """rows with dense ids from 0 in their order, by counts of range partitions and no single task.
+
+    The sorted rows are written to the shared folder first, so that counts and numbers are of the same rows even if a
+    task is run again.
+    """
+    spark = rows.sparkSession
     spread = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
-    spread = spread.withColumn("_part", F.shiftright("_at", 33)).cache()
+    path = f"{shared_folder(spark)}/vectide-numbered-{uuid.uuid4().hex}"
+    spread.withColumn("_part", F.shiftright("_at", 33)).write.parquet(path)
+    spread = spark.read.parquet(path)
     counts = sorted(spread.groupBy("_part").count().collect())  # a row a partition
     starts, total = [], 0
     for part, n in counts:
         starts.append((part, total))
         total += n
-    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
-    return spread.join(F.broadcast(offsets), "_part").withColumn(order, F.col("_start") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_start")
+    offsets = spark.createDataFrame(starts, "_part long, _start long")
+    numbered = spread.join(F.broadcast(offsets), "_part").withColumn(order, F.col("_start") + F.col("_at") - F.shiftleft("_part", 33))
+    return numbered.select(rows.columns)
 
 
 def write_text(vectors: DataFrame, path: str) -> None:
-    """The lines of vectors as text files, without a header, which a caller that wants one file puts before them."""
+    """The lines of vectors as text files, without a header; write_header adds a file with one."""
     values = F.array_join(F.transform("vector", lambda x: x.cast("string")), " ")
     vectors.select(F.concat_ws(" ", "word", values).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_header(vectors: DataFrame, path: str, dims: int) -> None:
+    """One more file beside those of write_text, with the number of vectors and their width."""
+    vectors.agg(F.concat_ws(" ", F.count("*").cast("string"), F.lit(str(dims))).alias("value")).write.mode("append").text(path)
+
+
 def read_word2vec(spark: SparkSession, path: str) -> DataFrame:
     """id, word, vector of a binary word2vec file: a header ``n d``, then words, a blank and d little-endian floats. One file is one task, as its records have no fixed length."""
 
@@ -78,9 +92,11 @@ def read_word2vec(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both read and write: spark.checkpoint.dir, or a temporary folder if it is unset."""
+    """Where driver and executors both read and write: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vectide-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
