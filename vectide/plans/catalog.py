@@ -508,7 +508,7 @@ def bytes_arithmetic(spark, sf):
 
 def bytes_normalize(spark, sf):
     rows = _packed_pairs(spark, sf).select("id", codecs.read_bytes(codecs.vec_normalize_bytes("a")).alias("v"))
-    return rows.select("id", F.round(vf.norm("v"), 5).alias("norm"), F.round(F.col("v")[0].cast("double"), 4).alias("first"))
+    return rows.select("id", F.round(vf.norm("v"), 5).alias("norm"), (F.round(F.col("v")[0].cast("double"), 4) + F.lit(0.0)).alias("first"))
 
 
 def bytes_centroid(spark, sf):

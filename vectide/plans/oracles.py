@@ -295,7 +295,7 @@ SQL |= {
     "codec_integers": with_("v", f"SELECT id, 4 * {DIMS} AS n_int, 2 * {DIMS} AS n_short, pos::INT - 1 AS pos, 2 * v[pos] AS val FROM whole, range(1, {DIMS + 1}) r(pos)", whole=_WHOLE),
     "bytes_similarity": with_("v", "SELECT id, round(list_cosine_similarity(a, b), 6) AS sim FROM pair", **_TWO),
     "bytes_arithmetic": with_("v", f"SELECT id, pos::INT - 1 AS pos, a[pos] - b[pos] AS less, a[pos] + b[pos] AS more FROM pair, range(1, {DIMS + 1}) r(pos)", **_TWO),
-    "bytes_normalize": with_("v", "SELECT id, 1.0::DOUBLE AS norm, round(a[1] / sqrt(list_inner_product(a, a)), 4) AS first FROM pair", **_TWO),
+    "bytes_normalize": with_("v", "SELECT id, 1.0::DOUBLE AS norm, round(a[1] / sqrt(list_inner_product(a, a)), 4) + 0.0::DOUBLE AS first FROM pair", **_TWO),
     "bytes_centroid": with_("v", "SELECT label, (pos - 1)::INT AS pos, round(avg(v[pos]), 2) AS val FROM whole, range(1, 65) r(pos) GROUP BY label, pos", whole=_WHOLE),
     "text_vectors": with_("v", numbers("v", "word")),
 }
