@@ -13,6 +13,7 @@ import pytest
 from corpus_rows import table_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vectide.llm import exact_dedup, media, mixing, packing, rollups, sharding
 from vectide.llm.common import BROADCAST_ROWS
@@ -360,6 +361,26 @@ def test_copies_against_brute_force(odd, none, first, second):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_copies_with_broadcast_groups(odd, monkeypatch):
+    """Groups of more than HOT rows stay where they are and give the same rows."""
+    want = sorted(map(repr, exact_dedup.exact_dedup(odd, first=2, second=3).collect()))
+    monkeypatch.setattr("vectide.llm.common.HOT", 2)
+    assert sorted(map(repr, exact_dedup.exact_dedup(odd, first=2, second=3).collect())) == want
+
+
+def test_bitmap_has_all_keys_and_few_others(spark):
+    from vectide.llm.common import bitmap, in_bitmap
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    parts, bits = bitmap(keys)
+    got = in_bitmap(spark.range(60_000).withColumn("_part", F.lit(1)), parts, bits, F.xxhash64("id"), "maybe")
+    assert got.columns == ["id", "_part", "maybe"]
+    hits = {r["id"] for r in got.where("maybe").collect()}
+    assert hits >= set(range(3000)) and len(hits) < 3000 + 57_000 // 8
+    parts, bits = bitmap(keys.limit(0))
+    assert in_bitmap(spark.range(9), parts, bits, F.xxhash64("id"), "maybe").where("maybe").count() == 0
+
+
 def test_copies_carry_their_rows(odd):
     kept = exact_dedup.exact_dedup(odd, carry=True).where("kept").select("row.*")
     assert kept.columns == odd.columns and kept.count() == len(brute_copies(texts(odd)))
@@ -385,8 +406,7 @@ def totals(store):
 
 def test_rollups(spark, tmp_path):
     store = rollups.Rollups(spark, str(tmp_path / "r"))
-    with pytest.raises(ValueError):
-        store.totals()
+    assert store.totals().collect() == [] and store.totals().columns == ["source", "lang", "tokenizer", "docs", "tokens"]
     first = changes(spark, [("a", "x", "t", "insert", 5, None), ("a", "x", "t", "insert", 7, None), (None, None, "t", "insert", None, None)])
     assert store.commit("1", first) and not store.commit("1", first)
     assert store.commit("2", changes(spark, [("a", "x", "t", "revise", 9, 5), ("a", "x", "t", "delete", None, 7)]))
@@ -400,6 +420,22 @@ def test_rollups(spark, tmp_path):
     assert store.commit("4", changes(spark, [])) and totals(store)["a", "x", "t"] == (0, 0)
 
 
+@pytest.mark.parametrize("op", ["upsert", None])
+def test_unknown_changes_are_rejected(spark, op):
+    with pytest.raises(Exception, match="unknown op"):
+        changes(spark, [("a", "x", "t", op, 5, None)]).collect()
+
+
+def test_counts_by_public_vocabularies(odd, none):
+    files = {"byte_bpe": "/opt/tokenizers/byte_bpe_50k.json", "piece_bpe": "/opt/tokenizers/piece_bpe_32k.model"}
+    got = rollups.vocabulary_counts(odd, files).collect()
+    count = [rollups.counter(path) for path in files.values()]
+    want = Counter((i, s, *(c([t])[0] for c in count)) for i, t, s in texts(odd))
+    assert Counter((r["doc_id"], r["source"], r["byte_bpe"], r["piece_bpe"]) for r in got) == want
+    assert {r["byte_bpe"] for r in got if r["doc_id"] in (100, 101)} == {0} and count[0](["a <|endoftext|>"])[0] > 3
+    assert rollups.vocabulary_counts(none, files).count() == 0
+
+
 def test_a_batch_cut_off_does_not_count(spark, tmp_path):
     store = rollups.Rollups(spark, str(tmp_path / "r"))
     rows = changes(spark, [("a", "x", "t", "insert", 5, None)])

@@ -8,16 +8,23 @@ from the documents.
 A batch is committed by the marker that Spark's committer writes when its folder is whole. A batch that is sent again
 finds the marker and changes nothing; one that was cut off has none and is written anew. ``compact`` folds committed
 batches into a base that lists them, and readers leave out batches that the newest whole base contains.
+
+Token counts come from any column: ``vocabulary_counts`` gives those of public vocabulary files. The registered query
+takes counts that SQL can repeat, by three patterns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vectide.llm.common import as_text, shared_dir, stored, table, word_count
+from vectide.llm.words import blocks
 
 KEYS = ("source", "lang", "tokenizer")
 
@@ -57,12 +64,12 @@ class Rollups:
         return bases[-1], {r[0] for r in rows}
 
     def totals(self) -> DataFrame:
-        """docs and tokens by KEYS over all committed batches; a key whose documents have all gone stays with 0."""
+        """docs and tokens by KEYS over all committed batches; a key whose documents have all gone stays with 0, and without a batch there is no row."""
         base, folded = self._folded()
         names = [f"base-{base}"] if base else []
         names += [f"batch-{b}" for b in self._whole("batch") if b not in folded]
         if not names:
-            raise ValueError("no batch is committed")
+            return self.spark.createDataFrame([], ", ".join([*(f"`{k}` string" for k in self.keys), "docs long, tokens long"]))
         parts = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{n}") for n in names])
         return parts.groupBy(*self.keys).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
@@ -75,12 +82,55 @@ class Rollups:
         self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base-{number}")
 
 
-def signed(changes: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Changes (KEYS, op: insert, delete or revise, tokens, old_tokens) as signed docs and tokens; a null count is 0."""
-    op, new, old = F.col("op"), F.coalesce("tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
-    docs = F.when(op == "insert", 1).when(op == "delete", -1).otherwise(0)
-    tokens = F.when(op == "insert", new).when(op == "delete", -old).otherwise(new - old)
-    return changes.select(*keys, docs.cast("long").alias("docs"), tokens.cast("long").alias("tokens"))
+def signed(
+    changes: DataFrame, keys: tuple[str, ...] = KEYS, op: str = "op", tokens: str = "tokens", old_tokens: str = "old_tokens"
+) -> DataFrame:
+    """Changes (keys, op: insert, delete or revise, tokens, old_tokens) as signed docs and tokens.
+
+    A null count is 0 and null keys are keys of their own; repeated rows count each time. Any other op, null too, is an
+    error when the rows are read. An empty table gives no rows; other columns may have any names.
+    """
+    kind, new, old = F.col(op), F.coalesce(tokens, F.lit(0)), F.coalesce(old_tokens, F.lit(0))
+    unknown = F.raise_error(F.concat(F.lit("unknown op "), F.coalesce(kind, F.lit("null"))))
+    docs = F.when(kind == "insert", 1).when(kind == "delete", -1).when(kind == "revise", 0).otherwise(unknown.cast("int"))
+    count = F.when(kind == "insert", new).when(kind == "delete", -old).when(kind == "revise", new - old).otherwise(unknown.cast("long"))
+    return changes.select(*keys, docs.cast("long").alias("docs"), count.cast("long").alias("tokens"))
+
+
+def vocabulary_counts(
+    docs: DataFrame, files: dict[str, str], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("source", "lang")
+) -> DataFrame:
+    """id, keep columns, and for each name in files the tokens of the text by the public vocabulary in that file.
+
+    Files are those of the tokenizers library (.json) or of sentencepiece (.model). Texts are counted whole, without
+    special tokens; a null text counts as empty and has none. Repeated rows repeat; an empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias(id_col), *[c for c in keep if c != id_col], as_text(text_col).alias("_text"))
+    schema = StructType(rows.schema.fields[:-1])
+    for name in files:
+        schema.add(name, "long")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [counter(path) for path in files.values()]
+        for texts, kept in blocks(batches, "_text", [f.name for f in schema.fields[: -len(files)]]):
+            texts = [t.decode("utf-8", "replace") for t in texts]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c(texts), pa.int64()) for c in counters)], names=schema.names)
+
+    return rows.mapInArrow(work, schema)
+
+
+def counter(path: str) -> Callable[[list[str]], list[int]]:
+    """A function of texts that counts their tokens by the vocabulary in a file."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True  # their strings in a text are ordinary text
+    return lambda texts: [len(x.ids) for x in found.encode_batch(texts, add_special_tokens=False)]
 
 
 def _matches(text: Column, pattern: str) -> Column:
