@@ -21,8 +21,8 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-#: Texts are worked on in blocks of about so many bytes, or one text if it is longer.
-BLOCK_BYTES = 3 << 20
+#: Texts are worked on in blocks of at most so many bytes, or one text if it is longer: 2**20 powers do for them.
+BLOCK_BYTES = (1 << 20) - 2
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
