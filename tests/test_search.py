@@ -62,6 +62,13 @@ def test_nearest_against_loops():
         assert got["similarity"] == [x for s, o in zip(sims, order, strict=True) for x in s[o]]
 
 
+def test_lateral_pairs_not_all(spark):
+    """The LATERAL query meets k pairs of each query, not every query with every vector."""
+    plan = catalog.knn_lateral(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_batch_beyond_broadcast(model, monkeypatch):
     known = model.words(catalog.query_words(model))
     want = sorted(map(tuple, pq.pq_batch(model.codes, model.codebook, known, 3, 8, 16, 64).collect()))

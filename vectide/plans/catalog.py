@@ -182,15 +182,15 @@ def knn_join_all(spark, sf):
 
 
 def knn_lateral(spark, sf):
+    """Neighbours of each row by LATERAL, from pairs that come as matrix products: k of each query and not all."""
     m = model(spark, sf)
-    m.vectors.createOrReplaceTempView("vectide_vectors")
-    query_words(m).createOrReplaceTempView("vectide_queries")
-    vf.register(spark)
+    known = m.words(query_words(m))
+    known.createOrReplaceTempView("vectide_queries")
+    knn.knn_pairs(known, m.vectors, N).createOrReplaceTempView("vectide_near")
     return spark.sql(f"""
-        SELECT q.word AS query, n.word AS target, n.similarity
-        FROM vectide_queries q JOIN vectide_vectors v ON v.word = q.word,
-        LATERAL (SELECT t.word, round(cosine_similarity_norm(v.vector, t.vector), 6) AS similarity, t.id
-                 FROM vectide_vectors t ORDER BY similarity DESC, t.id LIMIT {N}) n""")
+        SELECT q.query, n.word AS target, n.similarity
+        FROM vectide_queries q,
+        LATERAL (SELECT t.word, t.similarity, t.id FROM vectide_near t WHERE t.qid = q.qid ORDER BY t.similarity DESC, t.id LIMIT {N}) n""")
 
 
 # analogies
