@@ -53,7 +53,7 @@ def test_nearest_against_loops():
         x, ids = np.round(rng.normal(size=(n, width)), 1) * scale, rng.permutation(n)
         best = knn.Nearest(x, k)
         for a in range(0, n, 333):
-            best.add(ids[a : a + 333], np.array([f"w{i}" for i in ids[a : a + 333]], dtype=object), x[a : a + 333])
+            best.add(knn.Block(ids[a : a + 333], np.array([f"w{i}" for i in ids[a : a + 333]], dtype=object), x[a : a + 333], k))
         sims = np.round(np.einsum("ij,kj->ik", x, x), knn.PLACES)
         got = best.rows(np.arange(n)).to_pydict()
         order = [np.lexsort((ids, -s))[:k] for s in sims]
@@ -69,6 +69,30 @@ def test_lateral_pairs_not_all(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_quantiles_of_both_sides_large(spark, monkeypatch):
+    """Neither side is broadcast whole; a known subset is the query side, which once made a column ambiguous."""
+    m = catalog.model(spark, SF)
+    every = m.vectors.select(F.col("word"))
+    want = sorted(map(tuple, knn.knn_join(m.vectors, every, 3, every).collect()))
+    quantiles = catalog.similarity_quantiles(spark, SF).collect()
+    monkeypatch.setattr(knn, "BROADCAST_ELEMENTS", 64 * 150)
+    assert sorted(map(tuple, knn.knn_join(m.vectors, every, 3, every).collect())) == want
+    assert catalog.similarity_quantiles(spark, SF).collect() == quantiles
+
+
+def test_rounds_keep_queries_with_few_targets(spark, monkeypatch):
+    """More neighbours wanted than there are targets, and a vector without a length; NaN comes first, as in SQL."""
+    rows = [(i, f"w{i}", [float(i % 3), 1.0 if i != 4 else float("nan")]) for i in range(7)]
+    vectors = spark.createDataFrame(rows, "id long, word string, vector array<double>")
+    queries = vectors.select(F.col("id").alias("qid"), "vector")
+    want = sorted(map(tuple, knn.knn_pairs(queries, vectors.where("id < 4"), 9).collect()))
+    first = knn.knn_pairs(queries.where("qid < 4"), vectors, 1).collect()
+    assert len(want) == 7 * 4 and {r["id"] for r in first} == {4}
+    monkeypatch.setattr(knn, "BROADCAST_ELEMENTS", 2)
+    monkeypatch.setattr(knn, "BLOCK", 2)
+    assert str(sorted(map(tuple, knn.knn_pairs(queries, vectors.where("id < 4"), 9).collect()))) == str(want)
+
+
 def test_batch_beyond_broadcast(model, monkeypatch):
     known = model.words(catalog.query_words(model))
     want = sorted(map(tuple, pq.pq_batch(model.codes, model.codebook, known, 3, 8, 16, 64).collect()))

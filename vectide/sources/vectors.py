@@ -114,3 +114,9 @@ def save_table(rows: DataFrame, path: str) -> None:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A table or an index that was saved."""
     return spark.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later plan reads, if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
