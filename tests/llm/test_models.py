@@ -591,6 +591,39 @@ def brute_scores(rows, training):
         yield i, whole, alone
 
 
+def test_pieces_are_fitted_on_all_words(spark, monkeypatch):
+    """More documents than a sample of a thousand, each with a word of its own: the first rounds see them all."""
+    kept = lattice.start_lattice
+
+    def start(*args):
+        start.fitted = kept(*args)
+        return start.fitted
+
+    monkeypatch.setattr(lattice, "start_lattice", start)
+    rows = [(k, f"the word{k * k} of house{k}", "ab"[k % 2]) for k in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert lattice.score(docs, docs).count() == 1300
+    words = Counter(w for _, t, _ in rows for w in t.split())
+    w = Words([" ".join(words).encode()])
+    n = np.array([words[w.data[s:e].tobytes().decode()] for s, e in zip(w.start, w.end, strict=True)])
+    want = lattice.Lattice(lattice.vocabulary(lattice.VOCABULARY))
+    for _ in range(lattice.ROUNDS):
+        want = want.weighted(want.expected(w.data, w.start, w.end - w.start, n), n.sum())
+    assert np.allclose(start.fitted.logp, want.logp, rtol=0, atol=1e-6) and abs(start.fitted.end - want.end) < 1e-9
+
+
+def test_expected_without_logs(monkeypatch):
+    """Words up to the bound of plain probabilities give what the recursion in logs gives."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("etaoinъé", k=rng.randrange(1, 26))) for _ in range(300)]
+    w, pieces = Words([" ".join(texts).encode()]), lattice.Lattice(lattice.vocabulary(lattice.VOCABULARY))
+    sizes, times = w.end - w.start, np.arange(1, len(w.start) + 1)
+    got = pieces.expected(w.data, w.start, sizes, times), pieces.word_scores(w.data, w.start, sizes)
+    monkeypatch.setattr(lattice, "PLAIN", -9)
+    assert np.allclose(got[0], pieces.expected(w.data, w.start, sizes, times), rtol=1e-9)
+    assert np.allclose(got[1], pieces.word_scores(w.data, w.start, sizes), rtol=1e-12)
+
+
 @pytest.mark.parametrize("head", [1 << 18, 5, 0])
 def test_scores_against_loops(spark, monkeypatch, head):
     """Two languages and documents without one, a head of few words and the rest joined."""

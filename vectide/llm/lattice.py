@@ -8,8 +8,8 @@ discounts' mass goes to the spellings. A text's probability is the product over
 its class, the language whose words fit it best. The marginal over spellings alone is returned beside it.
 
 The public file holds merge ranks and no unigram probabilities, so the pieces' weights are fitted here: a start from
-their ranks, a few rounds of expectation-maximisation over a bounded sample, and a last round over the words of all
-training documents, by class. The vocabulary itself is never changed: every piece keeps its bytes. Texts have their
+their ranks, a few rounds of expectation-maximisation over the words of all training documents, and a last round over
+them by class. No part of it comes from a sample. The vocabulary itself is never changed: every piece keeps its bytes. Texts have their
 A-Z in lower case and no blanks inside words, so pieces with a capital A-Z or an inner blank occur in no text.
 
 A text's class comes from all its words by counts of hashed words, BUCKETS of them for each class, whatever their
@@ -35,16 +35,17 @@ from vectide.llm.langid import held_out_part
 from vectide.llm.words import BYTE_VALUES, HashTable, Words, blocks, mixed, powers
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: The bound of the sample for the first rounds in documents and bytes, and their number.
-SAMPLE_DOCS, SAMPLE_BYTES, ROUNDS = 1000, 4_000_000, 6
+#: Rounds over the words of all training documents before the last one, which is by class.
+ROUNDS = 6
 #: Frequent words that are broadcast, at most, and at most so many counts of them; distinct words that a task gathers
 #: before it sends their counts; word scores that a worker keeps of each class.
 HEAD, HEAD_CELLS, GATHER, CACHED = 1 << 18, 1 << 21, 200_000, 1 << 18
 #: What the counts of words and of pieces are raised by; counters of words by hash, of each class.
 ADD, PIECE_ADD, BUCKETS = 0.1, 0.01, 1 << 16
 MARK = "▁"
-#: Groups of at most so many words are worked on one by one.
-FEW = 8
+#: Groups of at most so many words are worked on one by one; words of at most so many bytes have probabilities that no
+#: double is too small for, and need no logs; leading bits of a sum that are looked up first.
+FEW, PLAIN, MAYBE = 8, 24, 20
 
 
 def _log_sum(values: list[float]) -> float:
@@ -68,20 +69,28 @@ def can_occur(piece: bytes) -> bool:
     return not any(b in b" \t\n\v\f\r" for b in piece[1:]) and piece[:1] not in b"\t\n\v\f\r" and piece == piece.lower()
 
 
-def piece_hash(pieces: list[bytes]) -> np.ndarray:
-    """The same hashes as sums over a text give its parts."""
+def piece_sums(pieces: list[bytes]) -> np.ndarray:
+    """The hashes before they are mixed; the same sums over a text give its parts."""
     up, _ = powers(max(map(len, pieces)) + 1)
-    return mixed(np.array([np.sum(BYTE_VALUES[np.frombuffer(p, np.uint8)] * up[: len(p)], dtype=np.uint64) for p in pieces], dtype=np.uint64))
+    return np.array([np.sum(BYTE_VALUES[np.frombuffer(p, np.uint8)] * up[: len(p)], dtype=np.uint64) for p in pieces], dtype=np.uint64)
+
+
+def piece_hash(pieces: list[bytes]) -> np.ndarray:
+    return mixed(piece_sums(pieces))
 
 
 class Lattice:
     """Pieces in sorted order of hash with their log probabilities, and that of a word's end after its first piece. Pieces that cannot occur have the probability that none has used."""
 
     def __init__(self, pieces: list[bytes]):
-        order = np.argsort(h := piece_hash(pieces))
+        sums = piece_sums(pieces)
+        order = np.argsort(h := mixed(sums))
         self.sizes = sorted({len(p) for p in pieces if can_occur(p)})
         self.longest = self.sizes[-1]
         self.table = HashTable(h[order])
+        self.sums = sums[order]
+        self.first = np.full(1 << MAYBE, -1, dtype=np.int32)  # a piece by its sum's first bits, which tells most strings at once
+        self.first[self.sums >> np.uint64(64 - MAYBE)] = np.arange(len(order))
         self.opens = np.array([pieces[k][:1] == b" " for k in order])
         self.set_weights(1 / (order + 3.0), 1.0)
 
@@ -116,14 +125,18 @@ class Lattice:
             up, down = powers(longest + 1)
             sums = np.zeros((len(some), longest + 2), dtype=np.uint64)
             np.cumsum(BYTE_VALUES[text] * up[: longest + 1], axis=1, dtype=np.uint64, out=sums[:, 1:])
-            found = np.full((longest + 2, self.longest, len(some)), -1, dtype=np.int32)
+            found = np.full((longest + 2, min(self.longest, longest + 1), len(some)), -1, dtype=np.int32)
             ok = np.concatenate([np.ones((len(some), 1), bool), inside], axis=1)
             for n in self.sizes:
                 if n > longest + 1:
                     break
                 h = (sums[:, n:] - sums[:, :-n]) * down[: longest + 2 - n]
-                rows, cols = np.nonzero(ok[:, n - 1 :])
-                found[cols + n, n - 1, rows] = self.table.find(mixed(h[rows, cols]))
+                own = self.first[h >> np.uint64(64 - MAYBE)]
+                rows, cols = np.nonzero(ok[:, n - 1 :] & (own >= 0))
+                h, own = h[rows, cols], own[rows, cols]
+                other = np.flatnonzero(self.sums[own] != h)
+                own[other] = self.table.find(mixed(h[other]))
+                found[cols + n, n - 1, rows] = own
             yield some, found
 
     def forward(self, found: np.ndarray) -> np.ndarray:
@@ -141,6 +154,31 @@ class Lattice:
                 alpha[t] = top + np.log(np.exp(x - top).sum(axis=0))
         return alpha
 
+    def plain(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probabilities of found pieces, and forward() without logs; for words of at most PLAIN bytes."""
+        edge = np.append(np.exp(self.logp), 0.0)[found]
+        alpha = np.zeros((len(found), found.shape[2]))
+        alpha[0] = 1
+        for t in range(1, len(found)):
+            n = min(found.shape[1], t)
+            alpha[t] = np.einsum("nw,nw->w", alpha[t - n : t][::-1], edge[t, :n])
+        return edge, alpha
+
+    def expected_plain(self, found: np.ndarray, last: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The expected number of uses of each piece in words of at most PLAIN bytes."""
+        edge, alpha = self.plain(found)
+        own = np.arange(len(last))
+        beta = np.zeros_like(alpha)
+        beta[last, own] = 1
+        scale = times / alpha[last, own]
+        for t in range(len(found) - 1, 0, -1):
+            n = min(found.shape[1], t)
+            back = edge[t, :n] * beta[t]
+            edge[t, :n] = alpha[t - n : t][::-1] * back * scale
+            beta[t - n : t][::-1] += back
+        used = found >= 0
+        return np.bincount(found[used], weights=edge[used], minlength=len(self.logp))
+
     def edges(self, found: np.ndarray) -> tuple[list[int], list[int], list[float], np.ndarray]:
         """One word's edges in order of their ends: starts, ends, log probabilities, pieces."""
         end, n = np.nonzero(found >= 0)
@@ -183,6 +221,8 @@ class Lattice:
         for some, found in self.groups(data, start, size):
             if len(some) <= FEW:
                 out[some] = [self.forward_one(found[:, :, j])[size[k] + 1] + self.end for j, k in enumerate(some)]
+            elif len(found) <= PLAIN + 2:
+                out[some] = np.log(self.plain(found)[1][size[some] + 1, np.arange(len(some))]) + self.end
             else:
                 out[some] = self.forward(found)[size[some] + 1, np.arange(len(some))] + self.end
         return out
@@ -211,6 +251,9 @@ class Lattice:
                 for j, k in enumerate(some):
                     self.expected_one(found[:, :, j], int(size[k]), float(count[k]), out)
                 continue
+            if len(found) <= PLAIN + 2:
+                out += self.expected_plain(found, size[some] + 1, count[some])
+                continue
             alpha, own = self.forward(found), np.arange(len(some))
             steps, last = len(found), size[some] + 1
             total = alpha[last, own]
@@ -263,26 +306,6 @@ def merged(parts: list[Gathered]) -> Gathered:
     return Gathered(h, count, data, np.concatenate(starts)[first], np.concatenate([p.size for p in parts])[first])
 
 
-def start_lattice(docs: DataFrame, id_col: str, text_col: str, path: str) -> Lattice:
-    """Pieces with weights from a bounded sample: whole texts of the smallest hashes."""
-    lattice = Lattice(vocabulary(path))
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), as_text(text_col).alias("text"))
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES)
-    most = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    texts, size = [], 0
-    if most is not None:
-        for (t,) in rows.where(F.col("h") <= most).orderBy("h", "text").limit(SAMPLE_DOCS).select("text").toLocalIterator():
-            if texts and size + len(t) > SAMPLE_BYTES:
-                break
-            texts.append(t.encode("utf-8", "replace"))
-            size += len(t)
-    if texts:
-        g, _ = distinct(Words(texts))
-        for _ in range(ROUNDS):
-            lattice.set_weights(lattice.expected(g.data, g.start, g.size, g.count), g.count.sum())
-    return lattice
-
-
 _COUNTS = "class int, key long, word binary, n long"
 
 
@@ -339,6 +362,19 @@ def expected_pieces(counts: DataFrame, lattice: Lattice) -> DataFrame:
     return counts.select("class", "word", "n").mapInArrow(work, "class int, piece int, expected double").groupBy("class", "piece").agg(F.sum("expected").alias("expected"))
 
 
+def start_lattice(counts: DataFrame, path: str) -> Lattice:
+    """Pieces with weights from all counted words of all classes together, by ROUNDS of expectation-maximisation; each round gives a row a piece."""
+    lattice = Lattice(vocabulary(path))
+    total = counts.agg(F.sum("n")).first()[0]
+    every = counts.select(F.lit(0).alias("class"), "word", "n")
+    for _ in range(ROUNDS if total else 0):
+        got = expected_pieces(every, lattice).toArrow()
+        weights = np.zeros(len(lattice.logp))
+        weights[got["piece"].to_numpy()] = got["expected"].to_numpy()
+        lattice = lattice.weighted(weights, total)
+    return lattice
+
+
 @dataclass
 class Head:
     """Frequent words: sorted hashes, counts, and counts by class in rows; those rarer than least are not here."""
@@ -396,8 +432,8 @@ def score(
         number = F.coalesce(F.element_at(known, F.col(class_col)), number)
     train = train.select(F.col(id_col).alias("id"), as_text(text_col).alias("text"), number.cast("int").alias("class"))
 
-    start = start_lattice(train, "id", "text", path)
     counts = counted(train)
+    start = start_lattice(counts, path)
     words = counts.groupBy("key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("own"))  # a row a class
     words = stored(words, "lm-words")
     docs_of, tokens_of, kinds_of, discount = np.zeros(size), np.zeros(size), np.zeros(size), np.full(size, 0.5)
