@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,16 @@ def discard(*tables: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what finished jobs left with the driver. Their broadcasts and shuffle files stay until both garbage
+    collectors have seen that no plan refers to them, and the C library keeps what Python has freed."""
+    gc.collect()
+    spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_text(col: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import as_text, bitmap, discard, in_bitmap, join_counted, stored, table
+from vectide.llm.common import as_text, bitmap, discard, in_bitmap, join_counted, stored, table, tidy
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes compared in the first round and in the second; each later round takes WIDEN times as many as the one before.
@@ -72,6 +72,7 @@ def exact_dedup(
 
     done, spent, off, width, level = [], [], 0, first, 0
     while True:
+        tidy(docs.sparkSession)
         split = stored(_regroup(rows, groups, off + width, travelling if level == 0 else F.col("text")), f"radix-rows-{level}")
         discard(groups)
         spent.append(split)

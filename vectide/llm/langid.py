@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import as_text, join_small, spare, stored, table
+from vectide.llm.common import as_text, join_small, spare, stored, table, tidy
 from vectide.llm.words import HashTable
 
 ORDER = 5
@@ -252,7 +252,14 @@ def train(
     A null text counts as empty. Repeated rows may be in the sample more than once; rows whose ids hash alike are taken
     in order of their texts. Other columns may have any names.
     """
-    got = sample(docs, id_col, text_col, lang_col, max_docs).toArrow().to_pandas().sort_values(["lang", "k"])
+    out = _learned(sample(docs, id_col, text_col, lang_col, max_docs))
+    tidy(docs.sparkSession)
+    return out
+
+
+def _learned(rows: DataFrame) -> Models | None:
+    """Models of a sample's languages; what they are made from is gone on return."""
+    got = rows.toArrow().to_pandas().sort_values(["lang", "k"])
     languages = sorted(got["lang"].unique())
     if not languages:
         return None

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import as_text, discard, join_counted, stored, table
+from vectide.llm.common import as_text, discard, join_counted, stored, table, tidy
 from vectide.llm.words import Words, blocks, mixed
 
 #: Retained hashes; how many of a union's k smallest a linked pair shares at least; the longest list that is paired; members that a longer list is compared to.
@@ -412,28 +412,36 @@ def near_duplicates(
     in no component and kept. Rows that repeat a text are in one component; those that repeat its smallest id are all
     kept. An empty table gives no rows; other input columns may have any names; texts of any length are read whole.
     """
+    spark = docs.sparkSession
+    tidy(spark)
     rows = stored(sketched(docs, id_col, text_col, width, k), "near-rows")
     same = (F.min("id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = rows.where("n > 0 and id is not null").groupBy("digest").agg(*same)
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
 
     listed = lists(sketch_index(classes, frequencies(classes, "sketch"), k, shared), "near-sketch")
+    tidy(spark)
     found = stored(estimated(listed_pairs(listed, False), classes, k, shared), "near-pairs")
     crowded = stored(listed.where(F.col("size") > LIST).select("id").distinct(), "near-crowded")
     needed = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).unionByName(crowded).distinct()
     sets = stored(full_sets(docs, classes.join(needed, "id"), id_col, text_col, width), "near-sets")
+    tidy(spark)
 
     own = stored(sets.join(crowded, "id", "left_semi"), "near-own")
     order = frequencies(own, "shingles")
     longer = lists(set_index(own, order), "near-set")
+    tidy(spark)
     more = stored(estimated(listed_pairs(longer, True).unionByName(star_pairs(longer)).distinct(), classes, k, shared), "near-more")
     pairs = found.unionByName(more).distinct()
+    tidy(spark)
 
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
     best = ends.groupBy("a").agg(F.max(F.struct("share", F.col("b").alias("b"))).alias("best"))
     best = best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     roots = stored(components(stored(verified(best, sets), "near-best"), "near-1"), "near-roots")
+    tidy(spark)
     roots = joined(roots, stored(verified(crossing(pairs, roots), sets), "near-links"), "near-2")
+    tidy(spark)
 
     members = stored(rooted(longer.where(F.col("size") > LIST), roots, "id", "root"), "near-members")
     apart = apart_lists(members, "near")
@@ -441,6 +449,7 @@ def near_duplicates(
         rest = stored(crossing(apart_pairs(apart, own, order, classes.count()), roots).select("a", "b"), "near-rest")
         roots = joined(roots, stored(verified(estimated(rest, classes, k, shared), sets), "near-late"), "near-3")
         discard(rest)
+        tidy(spark)
 
     labelled = stored(rooted(classes.select("id", "doc", "digest", "copies"), roots, "id", "root"), "near-labelled")
     smallest = labelled.groupBy("root").agg(F.min("doc").alias("component_id"))
